@@ -6,13 +6,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathsonde.llm import bpe, packing, simhash
+from pathsonde.llm import bpe, chat, linededup, packing, pii, sharding, simhash
 from pathsonde.llm.common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shuffle_into_shards(documents(spark, sf_dir), shards=24, stable=True)
+    return out.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", pii.is_base)
+    count = lambda k: F.size(pii.of_kind(F.col("spans"), k)).cast("long").alias(f"n_{k}")
+    return out.select(
+        "doc_id",
+        *[count(k) for k in pii.PATTERNS],
+        F.sha2(pii.listing(base), 256).alias("base_sha256"),
+        pii.listing(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(documents(spark, sf_dir), WORD_BPE)
     return out.select(
@@ -25,6 +50,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     ids = bpe.bpe_encode(docs, BYTE_BPE, public_tokenizers.PATTERN, drop=("text",))
@@ -37,7 +67,25 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_simhash, op9_byte_bpe)}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
+    out = chat.read_back(chat.format_conversations(rows))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_simhash, op5_line_dedup, op9_byte_bpe, op10_chat)}
 
 #: None of these can be written in SQL; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
