@@ -76,9 +76,10 @@ class Runs:
 
 def _batches(df: DataFrame, key: str, batches: int) -> list[Column]:
     """Conditions that part the rows by ranges of ``key``, largest first; nulls come last."""
-    bounds = sorted(set(df.approxQuantile(key, [k / batches for k in range(1, batches)], 0.01)), reverse=True)
+    shares = [k / batches for k in range(1, batches)]
+    bounds = (df.agg(F.percentile_approx(key, shares, 1000)).first()[0] or []) if shares else []
     c, out, upper = F.col(key), [], None
-    for b in map(int, bounds):
+    for b in sorted(set(bounds), reverse=True):
         out.append(c > b if upper is None else (c > b) & (c <= upper))
         upper = b
     rest = F.lit(True) if upper is None else c <= upper
