@@ -12,7 +12,8 @@ from __future__ import annotations
 import base64
 import functools
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -20,28 +21,44 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries of a memo; a full memo is emptied.
-MEMO = 200_000
+from pathsonde.llm.memo import WordMemo
 
+#: Pairs of tokens whose compatibility is remembered; a full memo is emptied.
+PAIRS = 150_000
+#: Rows that are put out together.
+ROWS = 256
 
-class ByteBPE:
-    """An encoder and decoder for one rank file."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+class Vocabulary:
+    """The tokens of a rank file."""
+
+    def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+
+    def decode(self, ids: bytes | None) -> bytes:
+        """The bytes that the ids stand for."""
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
+
+
+class ByteBPE(Vocabulary):
+    """An encoder for one rank file."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        super().__init__(path)
+        self.automaton = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
         self.pieces = regex.compile(pattern)
         #: Text falls apart before each run of white space; these are white space to str but not to the pattern.
         self.chunks, self.odd = re.compile(r"\s*\S+|\s+"), re.compile(r"[\x1c-\x1f]")
-        self.memo: dict[str, bytes] = {}
-        self.compatible = functools.lru_cache(maxsize=1 << 18)(self._compatible)
-        self.reachable = functools.lru_cache(maxsize=None)(self._reachable)
+        self.memo = WordMemo(lambda chunks: map(self._chunk, chunks))
+        self.pairs: dict[int, bool] = {}
+        self.reachable: dict[int, bool] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """The merges done one by one, lowest rank first; for short pieces."""
@@ -53,63 +70,58 @@ class ByteBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
-    def _compatible(self, a: int, b: int) -> bool:
-        return self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether the bytes of both tokens merge into just the two."""
+        if (known := self.pairs.get(a << 32 | b)) is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            known = self.pairs[a << 32 | b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+        return known
 
-    def _reachable(self, token: int) -> bool:
-        return self.merged(self.tokens[token]) == [token]
+    def merges_to_itself(self, token: int) -> bool:
+        if (known := self.reachable.get(token)) is None:
+            known = self.reachable[token] = self.merged(self.tokens[token]) == [token]
+        return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern; a piece that is itself a token is that token."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
+        n, tokens, pairs = len(piece), self.tokens, self.pairs
         options: list[list[int]] = [[] for _ in range(n)]
         for end, (token, length) in self.automaton.iter(piece.decode("latin-1")):
-            if self.reachable(token):
-                options[end - length + 1].append(token)
+            options[end - length + 1].append(token)
         dead, out, at, k = bytearray(n + 1), [], 0, len(options[0]) - 1
         while at < n:
+            here = options[at]
             while k >= 0:
-                token = options[at][k]
-                end = at + len(self.tokens[token])
-                if not dead[end] and (not out or self.compatible(out[-1][0], token)):
-                    out.append((token, k))
-                    at, k = end, len(options[end]) - 1 if end < n else -1
-                    break
+                token = here[k]
+                end = at + len(tokens[token])
+                if not dead[end]:
+                    fits = pairs.get(out[-1][0] << 32 | token) if out else self.merges_to_itself(token)
+                    if self.compatible(out[-1][0], token) if fits is None else fits:
+                        out.append((token, k))
+                        at, k = end, len(options[end]) - 1 if end < n else -1
+                        break
                 k -= 1
             else:
                 dead[at] = 1
                 token, k = out.pop()
-                at, k = at - len(self.tokens[token]), k - 1
+                at, k = at - len(tokens[token]), k - 1
         return [token for token, _ in out]
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = [i for piece in self.pieces.findall(chunk) for i in self.encode_piece(piece.encode())]
-        return np.array(ids, dtype="<u4").tobytes()
+        letters = (chunk[1:] if chunk[0] == " " else chunk).isalpha()
+        ids = [i for piece in ((chunk,) if letters else self.pieces.findall(chunk)) for i in self.encode_piece(piece.encode())]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if self.odd.search(text):
-            return b"".join(np.array(self.encode_piece(p.encode()), dtype="<u4").tobytes() for p in self.pieces.findall(text))
-        memo, out = self.memo, []
-        for m in self.chunks.finditer(text) if len(text) > 1 << 20 else self.chunks.findall(text):
-            chunk = m if isinstance(m, str) else m[0]
-            ids = memo.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def decode(self, ids: bytes | None) -> bytes:
-        """The bytes that the ids stand for."""
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
+            return self._chunk(text)
+        return self.memo.join(self.chunks.findall(text))
 
 
 @functools.lru_cache(maxsize=4)
@@ -118,16 +130,23 @@ def encoder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
-def _mapped(df: DataFrame, column: str, out: str, path: str, pattern: str, method: str, drop: tuple[str, ...]) -> DataFrame:
+@functools.lru_cache(maxsize=4)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+def _mapped(df: DataFrame, column: str, out: str, method: Callable[[], Callable], drop: tuple[str, ...]) -> DataFrame:
     kept = [c for c in df.columns if c not in drop and c != out]
     schema = df.select(*kept).schema.add(out, "binary")
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = getattr(encoder(path, pattern), method)
-        for b in batches:
-            made = pa.array((f(x.as_py()) for x in b.column(at)), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), made], [*kept, out])
+        f = method()
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                b = whole.slice(k, ROWS)
+                made = pa.array((f(x.as_py()) for x in b.column(at)), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), made], [*kept, out])
 
     return df.mapInArrow(run, schema)
 
@@ -138,9 +157,9 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", out:
     Null and empty texts give no ids. All other columns stay, but for those of ``drop``; one
     named like ``out`` is replaced. Rows are independent, so copies and empty tables need no care.
     """
-    return _mapped(df, text, out, path, pattern, "encode", drop)
+    return _mapped(df, text, out, lambda: encoder(path, pattern).encode, drop)
 
 
-def bpe_decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
+def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
     """Add ``out``: the bytes that ``ids`` stand for; null ids give none."""
-    return _mapped(df, ids, out, path, pattern, "decode", drop)
+    return _mapped(df, ids, out, lambda: vocabulary(path).decode, drop)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathsonde.llm import bpe, chat, linededup, packing, pii, sharding, simhash
+from pathsonde.llm import bpe, chat, flac, linededup, packing, pii, sharding, simhash, toxicity
 from pathsonde.llm.common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -55,10 +55,33 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = flac.decode_column(flac.encode_column(documents(spark, sf_dir).select("doc_id", "text")))
+    size = F.octet_length("payload")
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        size.cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substr(F.col("payload"), size - 63)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.score(docs, model).drop("text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     ids = bpe.bpe_encode(docs, BYTE_BPE, public_tokenizers.PATTERN, drop=("text",))
-    both = bpe.bpe_decode(ids, BYTE_BPE, public_tokenizers.PATTERN)
+    both = bpe.bpe_decode(ids, BYTE_BPE)
     return both.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),
@@ -85,7 +108,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_simhash, op5_line_dedup, op9_byte_bpe, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_simhash, op5_line_dedup, op6_flac, op7_toxicity, op9_byte_bpe, op10_chat)}
 
 #: None of these can be written in SQL; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}

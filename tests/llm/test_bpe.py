@@ -54,6 +54,6 @@ def test_merges_one_by_one_agree_with_backtracking(own):
 def test_frame(spark):
     rows = [(1, "one two", "x"), (2, None, None), (None, "", "y"), (1, "one two", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, IDS2 string")
-    out = bpe_decode(bpe_encode(df, PATH, P.PATTERN), PATH, P.PATTERN).collect()
+    out = bpe_decode(bpe_encode(df, PATH, P.PATTERN), PATH).collect()
     assert [(r.doc_id, bytes(r.decoded).decode(), r.IDS2) for r in out] == [(a, b or "", c) for a, b, c in rows]
     assert bpe_encode(df.limit(0), PATH, P.PATTERN).count() == 0
