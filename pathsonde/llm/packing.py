@@ -13,24 +13,34 @@ import functools
 import json
 import os
 import re
+import struct
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pathsonde.llm.memo import WordMemo
+
 #: Windows of the tiers, each a power of two.
 TIERS = (512, 1024, 2048)
 #: Tokens that are packed together; what does not fill a window is carried on.
 BLOCK_TOKENS = 2_000_000
 #: Tokens of one step.
 STEP_TOKENS = 65_536
-MEMO = 150_000
 #: White space to str, but not to the tokenizer's pattern.
 ODD = re.compile(r"[\x1c-\x1f]")
+#: Stands between words that are encoded together.
+MARK = "\x01"
+#: Words of Latin characters that stay as they are in NFC and whose lower case is one character; no special tokens.
+PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+
+
+_U4 = struct.Struct("<I").pack
 
 
 class WordTokenizer:
@@ -42,27 +52,49 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         with open(path) as f:
-            self.splits = '"\\\\s+"' in json.dumps(json.load(f)["normalizer"])
-        self.memo: dict[str, bytes] = {}
+            how = json.load(f)
+        normal = [x["type"] for x in how["normalizer"]["normalizers"]]
+        before = [x["type"] for x in how["pre_tokenizer"]["pretokenizers"]]
+        self.splits = normal == ["NFC", "Replace", "Lowercase"] and before == ["Split", "ByteLevel"] and how["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+        if self.splits:
+            self.pieces = regex.compile(how["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.shown = {b: chr(256 + n) for n, b in enumerate(odd)}
+        self.plain, self.marks = PLAIN.fullmatch, functools.lru_cache(maxsize=20_000)(self._piece)
+        self.model, self.memo = self.inner.model, WordMemo(self._words)
+        self.mark = self._ids([MARK])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a match of the pattern, which the model gets with its bytes as characters."""
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        return b"".join([_U4(t.id) for t in self.model.tokenize(shown)])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a plain word: the normaliser does no more to it than lower case."""
+        word = word.lower()
+        return self._piece(word) if word.isalpha() else b"".join(map(self.marks, self.pieces.findall(word)))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words that are not plain are encoded as one text, with a mark between them."""
+        plain = [self.plain(w) is not None for w in words]
+        rest = [w for w, s in zip(words, plain, strict=True) if not s]
+        if len(self.mark) != 4 or any(MARK in w for w in rest):
+            return self._ids(words)
+        others = iter(())
+        if rest:
+            whole = self._ids([f" {MARK} ".join(rest)])[0]
+            ids = np.frombuffer(whole, "<u4")
+            at = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0]).tolist()
+            others = (whole[4 * i : 4 * j] for i, j in zip([0, *(x + 1 for x in at)], [*at, len(ids)], strict=True))
+        return [self._word(w) if s else next(others) for w, s in zip(words, plain, strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        memo, out = self.memo, []
-        for text in texts:
-            if not self.splits or ODD.search(text):
-                out += self._ids([text])
-                continue
-            words = text.split()
-            if new := [w for w in dict.fromkeys(words) if w not in memo]:
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = list(dict.fromkeys(words))
-                memo.update(zip(new, self._ids(new), strict=True))
-            out.append(b"".join(map(memo.__getitem__, words)))
-        return out
+        whole = lambda t: not self.splits or ODD.search(t)
+        return [self._ids([t])[0] if whole(t) else self.memo.join(t.split()) for t in texts]
 
 
 @functools.lru_cache(maxsize=4)

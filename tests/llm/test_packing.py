@@ -14,8 +14,10 @@ PATH = P.path("word_bpe_49k.json")
 
 def test_same_ids_as_the_library():
     plain = Tokenizer.from_file(PATH)
-    texts = ["", "Hello, World's end 123", "İstanbul ΣΑΣ Σ", "é x̧́", "a\x1cb \x85 c d", "<|endoftext|>x <|startoftext|>", "日本 語　ok", "don't'S 'll''s", "ǅ ﬁ ß  \n\t"]
+    texts = ["", "Hello, World's end 123", "İstanbul ΣΑΣ Σ", "é x̧́", "a\x1cb \x85 c d", "<|endoftext|>x <|startoftext|>", "日本 語　ok", "don't'S 'll''s", "a \x01 b", "\x01", "ǅ ﬁ ß  \n\t"]
     rng = random.Random(1)
+    texts += [chr(c) + chr(d) for c in range(0x21, 0x200) for d in (0x41, 0xE9, 0x301, 0x2E) if c != 0xAD]
+    texts += ["".join(rng.choices("aEÀéñßŒœŸ'sİıĳŉſ,.;!12²ªº&<|>x", k=rng.randint(1, 9))) for _ in range(3000)]
     texts += ["".join(rng.choices("abcÉé'sS \n\t.,1234ßΣı́\x1f", k=80)) for _ in range(300)]
     for text, ids in zip(texts, tokenizer(PATH).encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
