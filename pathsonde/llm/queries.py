@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathsonde.llm import bpe, chat, flac, linededup, packing, pii, sharding, simhash, toxicity
+from pathsonde.llm import bpe, chat, embeddings, flac, linededup, packing, pii, sharding, simhash, toxicity
 from pathsonde.llm.common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -78,6 +78,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     ids = bpe.bpe_encode(docs, BYTE_BPE, public_tokenizers.PATTERN, drop=("text",))
@@ -108,7 +112,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_simhash, op5_line_dedup, op6_flac, op7_toxicity, op9_byte_bpe, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_simhash, op5_line_dedup, op6_flac, op7_toxicity, op8_embeddings, op9_byte_bpe, op10_chat)}
 
 #: None of these can be written in SQL; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
