@@ -94,35 +94,32 @@ def _keeps(kind: str):
 
 
 def _entities(df: DataFrame, text: str) -> DataFrame:
-    """``(h, entity, terms)``: for each distinct text and entity in it, the words around one mention."""
+    """``(r, h, entity, terms)``: for each row r, whose text has the hash h, and mention of an entity, the words around it."""
     names = {k: k for k in PATTERNS}
-    own = base_spans(df.select(F.col(text).alias("text"), F.xxhash64(text).alias("h")), "text", names)
+    own = base_spans(df.select(F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("r")), "text", names)
     c, tagged = F.col("text"), [_named(k) for k in PATTERNS]
-    each = own.filter(" or ".join(f"size({k}) > 0" for k in PATTERNS)).select("h", "text", F.explode(F.concat(*tagged)).alias("e")).select("h", "text", "e.*")
+    each = own.filter(" or ".join(f"size({k}) > 0" for k in PATTERNS)).select("r", "h", "text", F.explode(F.concat(*tagged)).alias("e")).select("r", "h", "text", "e.*")
     first = F.greatest(F.col("start") - REACH, F.lit(0))
     before = F.substr(c, first + 1, F.col("start") - first)
     after = F.substr(c, F.col("end") + 1, F.lit(REACH))
     before = F.when(first > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
     after = F.when(F.col("end") + REACH < F.char_length(c), F.regexp_replace(after, r"\S+$", "")).otherwise(after)
-    return each.select("h", "entity", words_of(F.concat_ws(" ", before, after)).alias("terms"))
+    return each.select("r", "h", "entity", words_of(F.concat_ws(" ", before, after)).alias("terms"))
 
 
 def disclosing_terms(df: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """``(term, action, share)`` for the terms that reveal an entity, from all distinct texts of ``df``.
+    """``(term, action, share)`` for the terms that reveal an entity, from all rows of ``df``.
 
-    A term and an entity meet where the term lies within REACH code points of the entity. Counts are
-    of distinct texts. Terms are pairs with at least ``min_texts`` texts; ``share`` is the mutual
+    A term and an entity meet where the term lies within REACH code points of the entity. They have to
+    meet in at least ``min_texts`` distinct texts; otherwise counts are of rows. ``share`` is the mutual
     information over the entity's information content, the largest over all entities.
     """
-    mentions = cut(_entities(df, text).select("h", "entity", F.explode("terms").alias("term")).distinct())
-    pairs = mentions.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= min_texts)
-    pairs = cut(pairs)
-    holders = mentions.select("h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    every = df.select(F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    seen = every.select("h", F.explode(words_of(F.col("text"))).alias("term")).join(pairs.select("term").distinct(), "term")
-    terms = seen.groupBy("term").agg(F.count_distinct("h").alias("n_term"))
-    texts = every.agg(F.count_distinct("h").alias("texts"))
-    counted = pairs.join(holders, "entity").join(terms, "term").crossJoin(F.broadcast(texts))  # one row
+    mentions = cut(_entities(df, text).select("r", "h", "entity", F.explode("terms").alias("term")).distinct())
+    pairs = mentions.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("h").alias("n_texts"))
+    pairs = cut(pairs.filter(F.col("n_texts") >= min_texts).drop("n_texts"))
+    holders = mentions.select("r", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    terms = df.select(F.explode(words_of(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    counted = pairs.join(holders, "entity").join(terms, "term").withColumn("texts", F.lit(df.count()))
     mutual = F.log2(F.col("texts") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     share = F.when(F.col("n_entity") < F.col("texts"), mutual / F.log2(F.col("texts") / F.col("n_entity"))).otherwise(0.0)
     best = counted.withColumn("share", share).groupBy("term").agg(F.max("share").alias("share"))

@@ -56,23 +56,22 @@ def test_documents(spark):
 
 
 def brute_terms(texts, min_texts, low=0.95):
-    texts = set(texts)
     words = lambda t: {w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 4}
     holders, near, df = defaultdict(set), defaultdict(set), defaultdict(set)
-    for t in texts:
+    for i, t in enumerate(texts):
         for w in words(t):
-            df[w].add(t)
+            df[w].add(i)
         for kind, a, b in plain(t):
             e = kind + (re.sub("[^0-9]", "", t[a:b]) if kind in ("card", "phone") else t[a:b].lower())
-            holders[e].add(t)
+            holders[e].add(i)
             left, right = t[max(0, a - REACH) : a], t[b : b + REACH]
             left = re.sub(r"^\S+", "", left) if a > REACH else left
             right = re.sub(r"\S+$", "", right) if b + REACH < len(t) else right
             for w in words(left + " " + right):
-                near[e, w].add(t)
+                near[e, w].add(i)
     best, n = {}, len(texts)
     for (e, w), both in near.items():
-        if len(both) >= min_texts and len(holders[e]) < n:
+        if len({texts[i] for i in both}) >= min_texts and len(holders[e]) < n:
             share = math.log2(n * len(both) / (len(df[w]) * len(holders[e]))) / math.log2(n / len(holders[e]))
             best[w] = max(best.get(w, 0), share)
     return {w: ("remove" if s >= 0.999 else "generalise") for w, s in best.items() if s >= low}
@@ -90,9 +89,9 @@ def corpus():
 
 def test_terms(spark):
     texts = corpus()
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[-5:])], "doc_id long, text string")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[-6:-1])], "doc_id long, text string")
     got = {r.term: r.action for r in disclosing_terms(df).collect()}
-    assert got == brute_terms(texts, 3)
+    assert got == brute_terms(texts + texts[-6:-1], 3)
     assert got["zarquon"] == "remove" and got["blorbville"] == "generalise" and "stone" not in got
     out = sanitise(find_spans(df)).collect()
     assert all(x not in r.text for r in out for x in ("Zarquon", "zed@", "Blorbville"))
