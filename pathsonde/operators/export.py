@@ -43,8 +43,17 @@ def cells(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[F.coalesce(cell(c, named), F.lit("")).alias(c) for c in columns])
 
 
+def _quoted(c: Column) -> Column:
+    return F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
 def write_csv(rows: DataFrame, columns: list[str], path: str) -> None:
-    """RFC 4180 with CRLF; each part has the header, behind a byte order mark."""
+    """RFC 4180 with CRLF, as text files; each has the header, behind a byte order mark, before its first row."""
     out = cells(rows, columns)
-    shown = out.withColumnRenamed(columns[0], BOM + columns[0])
-    shown.write.option("header", True).option("lineSep", "\r\n").option("escape", '"').option("emptyValue", "").csv(path)
+    header = BOM + ",".join(columns)
+    line = F.concat_ws(",", *[_quoted(F.col(c)) for c in columns])
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    lines = out.select(F.when(first, F.concat(F.lit(header + "\r\n"), line)).otherwise(line).alias("line"))
+    if lines.isEmpty():
+        lines = rows.sparkSession.createDataFrame([(header,)], "line string")
+    lines.write.option("lineSep", "\r\n").text(path)
