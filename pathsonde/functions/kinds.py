@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import mimetypes
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kinds in the order of their numbers.
@@ -61,22 +61,27 @@ def raw_extension(name: Column) -> Column:
     return F.when(fits, ext).otherwise("")
 
 
-def kind_column(is_dir: Column, name: Column, folded: Column, ext: Column, mode: Column) -> Column:
-    """The kind's number; ``folded`` is the name in lower case, ``ext`` its extension in lower case with marks."""
-    by_ext = F.lit(None).cast("int")
-    for kind in KINDS:
-        if own := sorted(e for e, k in extensions().items() if k == kind):
-            by_ext = F.when(ext.isin(*own), NUMBER[kind]).otherwise(by_ext)
-    stem = F.substr(folded, F.lit(1), F.char_length(folded) - F.char_length(ext) - 1)
-    generated = ext.isin("html", "htm") & (stem.contains(".") | stem.isin(*GENERATED))
+def extension_table(spark: SparkSession) -> DataFrame:
+    """``(ext_key, ext_kind)``: a few hundred rows that are part of the plan."""
+    rows = ", ".join(f"('{e}', {NUMBER[k]})" for e, k in sorted(extensions().items()))
+    return spark.sql(f"SELECT ext_key, ext_kind FROM VALUES {rows} AS t(ext_key, ext_kind)")
+
+
+def with_kind(rows: DataFrame, ext: str) -> DataFrame:
+    """Add ``kind``, a number: by folder, extension (the column ``ext``, in lower case with marks), name or mode, in this order."""
+    out = rows.join(F.broadcast(extension_table(rows.sparkSession)), F.col(ext) == F.col("ext_key"), "left")  # a few hundred rows
+    name, folded = F.col(ext), F.col("cased")
+    stem = F.substr(folded, F.lit(1), F.char_length(folded) - F.char_length(name) - 1)
+    generated = name.isin("html", "htm") & (stem.contains(".") | stem.isin(*GENERATED))
     by_name = F.lit(None).cast("int")
     for start, kind in reversed(BEGINNINGS):
         by_name = F.when(folded.startswith(start), NUMBER[kind]).otherwise(by_name)
     for kind, words in NAMES.items():
         by_name = F.when(folded.isin(*words.split()), NUMBER[kind]).otherwise(by_name)
-    runs = F.when(mode.bitwiseAND(F.lit(0o111)) != 0, NUMBER["exec"]).otherwise(NUMBER["file"])
-    found = F.when(ext == "", by_name).when(generated, NUMBER["build"]).otherwise(by_ext)
-    return F.when(is_dir, NUMBER["folder"]).otherwise(F.coalesce(found, runs)).cast("int")
+    runs = F.when(F.col("mode").bitwiseAND(F.lit(0o111)) != 0, NUMBER["exec"]).otherwise(NUMBER["file"])
+    found = F.when(name == "", by_name).when(generated, NUMBER["build"]).otherwise(F.col("ext_kind"))
+    kind = F.when(F.col("is_dir"), NUMBER["folder"]).otherwise(F.coalesce(found, runs)).cast("int")
+    return out.withColumn("kind", kind).drop("ext_key", "ext_kind")
 
 
 def kind_token(number: Column) -> Column:

@@ -26,7 +26,7 @@ RAW = f"""
   UNION ALL SELECT 3, '/parts/' || replace(p_brand, '#', '') || '/' || p_type || CASE WHEN p_partkey % 97 = 0 THEN '/.gitignore_d' || p_partkey || '/.rs'
       WHEN p_partkey % 89 = 0 THEN '/README_' || p_partkey
       ELSE '/' || replace(p_name, ' ', '_') || '_' || p_partkey || CASE WHEN {PART_EXT} = '' THEN '' ELSE '.' || {PART_EXT} END END,
-    p_partkey, CAST(floor(round(p_retailprice * 100, 4)) AS BIGINT), 1690000000 + 60 * p_partkey FROM part
+    p_partkey, CASE WHEN p_partkey % 53 = 0 THEN 0 ELSE CAST(floor(round(p_retailprice * 100, 4)) AS BIGINT) END, 1690000000 + 60 * p_partkey FROM part
   UNION ALL SELECT 4, {CHAT_PATH}, conv_id, length(text), 1695000000 + 60 * conv_id + turn FROM conversations"""
 
 
@@ -94,12 +94,12 @@ PREDICATES: dict[str, tuple[str, str]] = {
     "pred_size_range": ("size:100kb..200kb", "size >= 102400 AND size <= 204800"),
     "pred_kind": ("kind:media|tür:kod", "kind IN (7, 8, 9) OR kind = 2"),
     "pred_time_day": ("dm:1996-01-02", "mtime >= 820540800 AND mtime < 820627200"),
-    "pred_time_window": ("modified:>2y", f"mtime > {NOW - 730 * DAY}"),
+    "pred_time_window": ("modified:>3y", f"mtime > {NOW - 1095 * DAY}"),
     "pred_time_created": ("dc:<=2024-01-15", "ctime <= 1705276800"),
     "pred_time_accessed": ("da:2024-02-01..", "atime >= 1706745600"),
     "pred_depth": ("depth:4", "depth = 4"),
     "pred_depth_more": ("derinlik:>4", "depth > 4"),
-    "pred_regex": (r"regex:_1[0-9]+\.(rs|py)$", r"regexp_matches(bare, '_1[0-9]+\.(rs|py)$')"),
+    "pred_regex": (r'regex:"_1[0-9]+\.(rs|py)$"', r"regexp_matches(bare, '_1[0-9]+\.(rs|py)$')"),
     "pred_len": ("len:>25", "length(name) > 25"),
     "pred_case": ("case:JPG", "contains(name, 'JPG')"),
     "pred_letters": ("letters:rwd3", "bare LIKE '%r%w%d%3%'"),
@@ -114,8 +114,8 @@ PREDICATES: dict[str, tuple[str, str]] = {
     "pred_empty": ("empty:", "NOT is_dir AND size = 0"),
     "pred_startwith": ("startwith:small", "bare LIKE 'small%'"),
     "pred_endwith": ("endwith:7.csv", "bare LIKE '%7.csv'"),
-    "pred_and_or_not": ("red|blue !ext:pdf;rs size:>100kb", "(contains(bare, 'red') OR contains(bare, 'blue')) AND NOT (NOT is_dir AND ext IN ('pdf', 'rs')) AND size > 102400"),
-    "pred_negated_range": ("!size:100kb..200kb", "NOT size >= 102400 AND NOT size <= 204800"),
+    "pred_and_or_not": ("red|blue !ext:pdf;rs size:>50kb", "(contains(bare, 'red') OR contains(bare, 'blue')) AND NOT (NOT is_dir AND ext IN ('pdf', 'rs')) AND size > 51200"),
+    "pred_negated_range": ("!size:200kb..100kb", "NOT size >= 204800 AND NOT size <= 102400"),
     "pred_negated_alternative": ("!red|bolt", "NOT contains(bare, 'red') OR contains(bare, 'bolt')"),
     "pred_macro": ("pic:|audio:", "kind = 3"),
     "pred_semicolon": ("red;bolt", "contains(bare, 'red') AND contains(bare, 'bolt')"),
@@ -129,7 +129,7 @@ PREDICATES: dict[str, tuple[str, str]] = {
     "pred_fuzzy_long": ("typo:wigdet", near_sql("wigdet")),
 }
 ORACLE = {name: where(sql) for name, (_, sql) in PREDICATES.items()}
-ORACLE["pred_exact_accents"] = where("contains(cased, 'cion')")
+ORACLE["pred_exact_accents"] = where("contains(cased, 'on')")
 
 SORT_FILTER = "contains(bare, 'bolt') OR kind = 1 OR ext = 'mp3' OR (kind = 5 AND source = 0)"
 SORT_KEYS = {"name": "bare", "path": "path", "size": "size", "modified": "mtime", "created": "ctime", "accessed": "atime", "ext": "ext", "kind": "kind", "mode": "mode", "uid": "uid", "gid": "gid", "disk": "disk"}

@@ -43,7 +43,7 @@ QUERIES |= {name: _predicate(question) for name, (question, _) in oracle.PREDICA
 
 @query
 def pred_exact_accents(spark, sf_dir):
-    return engine(spark, sf_dir, exact_accents=True).where("cion").select(*SHOWN)
+    return engine(spark, sf_dir, exact_accents=True).where("on").select(*SHOWN)
 
 
 @query

@@ -28,7 +28,7 @@ def derive(entries: DataFrame) -> DataFrame:
     e = e.withColumn("cased", text.fold_column(F.col("name"))).withColumn("bare", text.unaccent_folded_column(F.col("cased")))
     raw = F.when(F.col("is_dir"), "").otherwise(kinds.raw_extension(F.col("name")))
     e = e.withColumn("ext_cased", text.fold_column(raw)).withColumn("ext", text.unaccent_folded_column(F.col("ext_cased")))
-    e = e.withColumn("kind", kinds.kind_column(F.col("is_dir"), F.col("name"), F.col("cased"), F.col("ext_cased"), F.col("mode")))
+    e = kinds.with_kind(e, "ext_cased")
     return e.withColumn("depth", paths.depth_of(F.col("path"))).drop("ext_cased")
 
 
@@ -68,7 +68,7 @@ def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read("orders").select(*_file(2, c("o_orderkey"), glue(folder, "/order_", c("o_orderkey"), ".csv"), F.floor("o_totalprice"), when))
     ext = F.element_at(F.array(*map(F.lit, SAMPLE_EXTENSIONS)), (c("p_partkey") % len(SAMPLE_EXTENSIONS) + 1).cast("int"))
     stem = F.when(c("p_partkey") % 97 == 0, glue("/.gitignore_d", c("p_partkey"), "/.rs")).when(c("p_partkey") % 89 == 0, glue("/README_", c("p_partkey"))).otherwise(glue("/", F.replace("p_name", F.lit(" "), F.lit("_")), "_", c("p_partkey"), F.when(ext == "", "").otherwise(glue(".", ext))))
-    parts = read("part").select(*_file(3, c("p_partkey"), glue("/parts/", F.replace("p_brand", F.lit("#"), F.lit("")), "/", c("p_type"), stem), F.floor(F.round(c("p_retailprice") * 100, 4)), F.lit(1_690_000_000) + 60 * c("p_partkey")))
+    parts = read("part").select(*_file(3, c("p_partkey"), glue("/parts/", F.replace("p_brand", F.lit("#"), F.lit("")), "/", c("p_type"), stem), F.when(c("p_partkey") % 53 == 0, 0).otherwise(F.floor(F.round(c("p_retailprice") * 100, 4))), F.lit(1_690_000_000) + 60 * c("p_partkey")))
     chats = read("conversations").select(*_file(4, c("conv_id"), glue("/chats/c", c("conv_id"), "/", c("turn"), "_", c("role"), ".md"), F.char_length("text"), F.lit(1_695_000_000) + 60 * c("conv_id") + c("turn")))
     return docs.unionByName(pages).unionByName(orders).unionByName(parts).unionByName(chats)
 
