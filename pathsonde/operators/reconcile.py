@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,16 +57,19 @@ def latest(changes: DataFrame) -> DataFrame:
     return ups.join(undone, KEY, "left_anti")
 
 
-def apply_changes(table: DataFrame, changes: DataFrame) -> DataFrame:
-    """The table after a batch of changes: removed subtrees go, upserts replace or add rows; one is revived only by its own upsert."""
+def apply_changes(table: DataFrame, changes: DataFrame, settle: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """The table after a batch of changes: removed subtrees go, upserts replace or add rows; one is revived only by its own upsert.
+
+    ``settle`` may write a frame and read it again: then prefixes and keys have a known size, and small ones are
+    joined to the table where it lies. Only folders above its rows are compared with removed prefixes.
+    """
     columns = SCHEMA.fieldNames()
-    ups = latest(changes)
+    ups = settle(latest(changes))
     fresh = ups.select(*[F.col(c) if c in KEY else F.col(f"entry.{c}").alias(c) for c in columns])
-    ids = table.select(*KEY).distinct()
-    removed = changes.filter("op = 'remove_subtree'").select("source", F.col("path").alias("prefix")).distinct()
-    chain = ids.select(*KEY, F.explode(F.concat(paths.ancestors_of(F.col("path")), F.array("path"))).alias("prefix"))
+    removed = settle(changes.filter("op = 'remove_subtree'").select("source", F.col("path").alias("prefix")).distinct())
+    chain = table.select(*KEY, F.explode(F.concat(paths.ancestors_of(F.col("path")), F.array("path"))).alias("prefix"))
     hit = chain.join(removed, ["source", "prefix"], "left_semi").select(*KEY)
-    gone = hit.unionByName(ups.select(*KEY)).distinct()
+    gone = settle(hit.unionByName(ups.select(*KEY)).distinct())
     return table.select(*columns).join(gone, KEY, "left_anti").select(*columns).unionByName(fresh)
 
 

@@ -11,7 +11,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from pathsonde.functions.paths import reduce_prefixes
-from pathsonde.operators.reconcile import apply_changes
 from pathsonde.sources.table import VersionedTable
 
 #: Milliseconds without news after which gathered rescans run, and the longest that they wait.
@@ -19,15 +18,15 @@ QUIET_MS, CAP_MS = 500, 3_000
 
 
 def apply_stream(changes: DataFrame, table: VersionedTable, checkpoint: str, **trigger):
-    """Start a query that applies each micro-batch of ``changes(seq, op, source, path, entry)`` as a new version.
+    """Start a query that appends each micro-batch of ``changes(seq, op, source, path, entry)`` to the table, and folds batches as they grow.
 
-    A batch that is run again writes the same version from the one before it, so each change counts once.
+    A batch that is run again writes the same revision, so each change counts once.
     """
     first = table.revision() + 1
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        revision = first + batch_id
-        table.publish(apply_changes(table.read(revision - 1) if revision else table.read(-1), batch), revision)
+        table.append(batch, first + batch_id)
+        table.maintain()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

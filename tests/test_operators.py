@@ -97,9 +97,12 @@ def test_stream_applies_each_batch_once(spark, tmp_path):
     stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(f"{where}/feed")
     feed.apply_stream(stream, t, f"{where}/c").awaitTermination()
     assert t.revisions() == [0, 1, 2]
+    before = sorted(t.read().collect())
+    t.maintain(segments=1)
+    assert t.layers() == (2, []) and sorted(t.read().collect()) == before and not t.maintain()
     assert {r.path: r.size for r in t.read().collect()} == {"/d/a": 3, "/k": 10, "/n": 4}
-    t.compact(keep=1)
-    assert len(t.revisions()) == 1
+    t.compact()
+    assert t.revisions() == [2] and t.read().count() == 3
 
 
 def test_debounce(spark):
