@@ -86,8 +86,8 @@ def near_duplicate_groups(rows: DataFrame, similarity: float = SIMILARITY) -> Da
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("first")
     nodes = cut(own.groupBy("k1", "k2").agg(first, F.first("f1").alias("f1"), F.first("f2").alias("f2"))).withColumn("node", F.monotonically_increasing_id())
     placed = nodes.select("node", F.explode(_keys()).alias("bucket"))
-    full = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"), F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node")).alias("other"))
-    members = cut(placed.join(full.filter("n > 1").withColumn("other", F.col("other.node")), "bucket"))
+    full = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("n > 1")
+    members = cut(placed.join(full, "bucket"))
     small = members.filter(F.col("n") <= PAIRS_UP_TO)
     pairs = small.select("bucket", F.col("node").alias("u")).join(small.select("bucket", F.col("node").alias("v")), "bucket").filter("v < u").select("u", "v")
     large = members.filter(F.col("n") > PAIRS_UP_TO)
@@ -99,7 +99,9 @@ def near_duplicate_groups(rows: DataFrame, similarity: float = SIMILARITY) -> Da
     links = cut(_verified(pairs, shingles, similarity))
     roots = cut(connected_components(links))
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = large.filter("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct().join(of("u"), "u", "left").join(of("v"), "v", "left")
+    drawn = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node")).alias("other")).select("bucket", "other.node")
+    apart = large.select("bucket", F.col("node").alias("u")).join(drawn.withColumnRenamed("node", "v"), "bucket").filter("u <> v").select("u", "v").distinct()
+    apart = apart.join(of("u"), "u", "left").join(of("v"), "v", "left")
     apart = apart.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     more = cut(_verified(apart, shingles, similarity))
     roots = connected_components(links.unionByName(more))
