@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pathsonde.llm.memo import WordMemo
 
 #: Pairs of tokens whose compatibility is remembered; a full memo is emptied.
-PAIRS = 150_000
+PAIRS = 400_000
 #: Rows that are put out together.
 ROWS = 256
 
@@ -62,13 +62,18 @@ class ByteBPE(Vocabulary):
 
     def merged(self, piece: bytes) -> list[int]:
         """The merges done one by one, lowest rank first; for short pieces."""
-        parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(a + b, len(self.tokens)), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == len(self.tokens):
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        rank, none = self.ranks.get, len(self.tokens)
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        costs = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while costs and (best := min(costs)) < none:
+            i = costs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i < len(costs):
+                costs[i] = rank(parts[i] + parts[i + 1], none)
+            if i:
+                costs[i - 1] = rank(parts[i - 1] + parts[i], none)
+        return [self.ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of both tokens merge into just the two."""
