@@ -370,37 +370,35 @@ def _decode_frames(frames: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
     rice.sort(key=lambda r: -r[0])
     counts, ks = np.array([r[0] for r in rice]), np.array([r[5] for r in rice])
     bits = np.unpackbits(data)
-    ones = np.flatnonzero(bits).astype(np.int32)
-    rank = np.cumsum(bits, dtype=np.int32)
-    rank -= bits
-    ones = np.append(ones, [len(bits)] * 2).astype(np.int32)
-    rank = np.append(rank, [len(ones) - 1] * 16).astype(np.int32)
+    ones = np.append(np.flatnonzero(bits.view(bool)).astype(np.int32), np.int32(len(bits)))
+    after = np.repeat(ones, np.diff(ones, prepend=-1))  # the next one at or behind each place
     place = np.array([r[6] for r in rice], dtype=np.int32)
-    steps, edge = int(counts[0]), len(bits) + 15
+    steps, edge = int(counts[0]), len(bits)
     stops = np.zeros((steps, len(rice)), dtype=np.int32)
     active = np.searchsorted(-counts, -np.arange(steps), side="left")  # frames with more codes than each step
     gap = (ks + 1).astype(np.int32)
     where = place.copy()
     for step, n in enumerate(active.tolist()):
-        t = ones[rank[where[:n]]]
-        stops[step, :n] = t
-        where = np.minimum(t + gap[:n], edge)
+        t = stops[step, :n]
+        np.take(after, where[:n], out=t, mode="clip")
+        where = t + gap[:n]
+    ends = np.array([8 * (at[x[1]] + total[x[1]]) for x in rice])
+    if (stops[counts - 1, np.arange(len(rice))] + gap > ends).any():
+        raise BadStream("a residual runs out of its frame")
     starts = np.empty_like(stops)
     starts[0] = place
-    starts[1:] = stops[:-1] + gap
+    np.add(stops[:-1], gap, out=starts[1:])
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint32)
     window = padded[:-3] << 24 | padded[1:-2] << 16 | padded[2:-1] << 8 | padded[3:]
-    low = np.minimum(stops + 1, len(bits))
-    rest = window[low >> 3] >> (32 - (low & 7) - ks).astype(np.uint32) & ((1 << ks) - 1).astype(np.uint32)
-    u = ((stops - starts) << ks | rest.astype(np.int32)).astype(np.int64)
+    low = np.minimum(stops + 1, edge)
+    rest = window[low >> 3] >> (32 - (low & 7) - ks.astype(np.int32)).astype(np.uint32) & ((1 << ks) - 1).astype(np.uint32)
+    u = (stops - starts) << ks.astype(np.int32) | rest.view(np.int32)
     r = u >> 1 ^ -(u & 1)
-    if (((stops >= (8 * np.array([at[x[1]] + total[x[1]] for x in rice])))) & (np.arange(steps)[:, None] < counts)).any():
-        raise BadStream("a residual runs out of its frame")
     for order in {x[2] for x in rice}:
         own = [j for j, x in enumerate(rice) if x[2] == order]
         warm = np.array([np.frombuffer(frames[rice[j][1]][0], np.int8, order, frames[rice[j][1]][2] + 1) for j in own]).reshape(len(own), order)
         n = counts[own]
-        s = np.zeros((order + int(n.max()), len(own)), dtype=np.int64)
+        s = np.zeros((order + int(n.max()), len(own)), dtype=np.int32)
         s[:order] = warm.T
         e = r[: int(n.max()), own]
         plain = order == 1 and all(rice[j][3] == [1] and not rice[j][4] for j in own)
@@ -408,10 +406,10 @@ def _decode_frames(frames: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
             s[1:] = e
             np.cumsum(s, axis=0, out=s)
         else:
-            c, shift = np.array([rice[j][3] for j in own]).reshape(len(own), order).T[::-1].copy(), np.array([rice[j][4] for j in own])
+            c, shift = np.array([rice[j][3] for j in own], dtype=np.int32).reshape(len(own), order).T[::-1].copy(), np.array([rice[j][4] for j in own], dtype=np.int32)
             live = np.searchsorted(-n, -np.arange(int(n.max())), side="left").tolist()
             for step, m in enumerate(live):
-                guess = (c[:, :m] * s[step : step + order, :m]).sum(axis=0) >> shift[:m] if order else 0
+                guess = np.einsum("of,of->f", c[:, :m], s[step : step + order, :m]) >> shift[:m] if order else 0
                 s[order + step, :m] = e[step, :m] + guess
         for col, j in enumerate(own):
             out[rice[j][1]] = s[: order + rice[j][0], col]
