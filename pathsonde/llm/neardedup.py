@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathsonde.llm.common import cut, free_name
+from pathsonde.llm.common import cut, free_name, slices
 from pathsonde.llm.components import connected_components
 from pathsonde.llm.simhash import _lit, covering_masks, shingle_hashes
 
@@ -44,7 +44,7 @@ def _fingerprints(df: DataFrame) -> DataFrame:
         schema = schema.add(n, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = np.array([word_fingerprint(x.as_py()) for x in b.column(2)], dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(got[:, k]) for k in range(4))], schema.fieldNames())
 
@@ -55,7 +55,7 @@ def _shingles(df: DataFrame) -> DataFrame:
     """``(node, s)`` of rows ``(node, text)``: distinct hashes of five-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [np.unique(np.array(shingle_hashes(x.as_py(), WORDS), dtype=np.uint64)).view(np.int64) for x in b.column(1)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = pa.array(np.concatenate([*sets, np.empty(0, dtype=np.int64)]))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathsonde.llm.common import cut
+from pathsonde.llm.common import cut, slices
 from pathsonde.llm.components import connected_components
 
 #: Buckets with more members are linked through midpoints instead of pairs.
@@ -61,7 +61,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", words: int = 3, out: str
     t = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(shingle_hashes(x.as_py(), words)) for x in b.column(t)], dtype=np.uint64)
             columns = [b.column(b.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(fps.view(np.int64))], [*kept, out])

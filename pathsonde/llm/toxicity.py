@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathsonde.llm.common import cut
+from pathsonde.llm.common import cut, slices
 
 #: Labelled rows to learn from, at most; entries of the lexicon; lengths of word beginnings.
 TRAIN_ROWS, LEXICON, BEGINNINGS = 12_000, 3_000, range(4, 9)
@@ -27,7 +27,7 @@ TRAIN_ROWS, LEXICON, BEGINNINGS = 12_000, 3_000, range(4, 9)
 MIN_ROWS, MIN_ODDS = 3, 1.5
 TREES, DEPTH, RATE, BINS, SHRINK = 120, 3, 0.1, 48, 5.0
 #: Words that are remembered by a worker.
-WORDS = 300_000
+WORDS = 150_000
 
 #: Words of the second person in English, German, French and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner euch euer ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro su".split())
@@ -275,10 +275,8 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(model.lexicon)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                b = whole.slice(k, 1024)
-                x = np.array([make(v.as_py()) for v in b.column(at)]).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.probabilities(x), pa.float64())], [*b.schema.names, out])
+        for b in slices(batches, 1024):
+            x = np.array([make(v.as_py()) for v in b.column(at)]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.probabilities(x), pa.float64())], [*b.schema.names, out])
 
     return rows.mapInArrow(run, schema)
