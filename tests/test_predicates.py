@@ -96,7 +96,7 @@ def test_plans_prune(spark, entries, tmp_path):
     own = Engine(read_segments(spark, str(tmp_path / "t")), Context(NOW))
     plan = own.where("under:/a size:>1mb dm:>1d").select("path")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(path,/a/)" in plan and "GreaterThan(size" in plan and "GreaterThan(mtime" in plan
-    assert "ReadSchema: struct<path:string,size:bigint,mtime:bigint>" in plan
+    assert "ReadSchema: struct<path:string,is_dir:boolean,size:bigint,mtime:bigint>" in plan  # the lookup of kinds reads is_dir
     assert "TakeOrderedAndProject" in own.rows("bolt", "modified")._jdf.queryExecution().executedPlan().toString()
 
 
