@@ -21,6 +21,8 @@ from pathsonde.llm.components import connected_components
 from pathsonde.llm.simhash import _lit, covering_masks, shingle_hashes
 
 RADIUS, WORDS, SIMILARITY = 5, 5, 0.8
+#: Rows of buckets that a task makes, about.
+BUCKET_ROWS = 400_000
 #: Members of a bucket up to which all pairs are checked.
 PAIRS_UP_TO = 6
 
@@ -85,7 +87,9 @@ def near_duplicate_groups(rows: DataFrame, similarity: float = SIMILARITY) -> Da
     own = cut(_fingerprints(rows))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("first")
     nodes = cut(own.groupBy("k1", "k2").agg(first, F.first("f1").alias("f1"), F.first("f2").alias("f2"))).withColumn("node", F.monotonically_increasing_id())
-    placed = nodes.select("node", F.explode(_keys()).alias("bucket"))
+    tables, partitions = 2 * (2 ** (RADIUS + 1) - 1), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = nodes.repartition(max(partitions, nodes.count() * tables // BUCKET_ROWS + 1), "node")
+    placed = spread.select("node", F.explode(_keys()).alias("bucket"))
     full = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("n > 1")
     members = cut(placed.join(full, "bucket"))
     small = members.filter(F.col("n") <= PAIRS_UP_TO)

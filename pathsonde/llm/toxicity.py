@@ -27,7 +27,7 @@ TRAIN_ROWS, LEXICON, BEGINNINGS = 12_000, 3_000, range(4, 9)
 MIN_ROWS, MIN_ODDS = 3, 1.5
 TREES, DEPTH, RATE, BINS, SHRINK = 120, 3, 0.1, 48, 5.0
 #: Words that are remembered by a worker.
-WORDS = 150_000
+WORDS = 300_000
 
 #: Words of the second person in English, German, French and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner euch euer ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro su".split())
