@@ -114,5 +114,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_simhash, op5_line_dedup, op6_flac, op7_toxicity, op8_embeddings, op9_byte_bpe, op10_chat)}
 
-#: None of these can be written in SQL; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+LINE_DEDUP_SQL = """WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+  n AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+  k AS (SELECT doc_id, i, l[i] AS line, translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM n),
+  g AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+  m AS (SELECT k.doc_id, i, line, keeper IS NOT NULL AND keeper <> k.doc_id AS gone FROM k LEFT JOIN g ON g.key = k.key)
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+#: The others cannot be written in SQL; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP_SQL}
