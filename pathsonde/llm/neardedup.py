@@ -1,9 +1,10 @@
-"""Near-duplicate documents: candidates by SimHash and covering hashing, checked by shingles of five words.
+"""Near-duplicate documents: an exact join of their sets of five-word shingles.
 
-At a Jaccard similarity of 0.8 the shingles of two texts leave a fingerprint of shingles so far apart
-that no covering of practical size reaches it. Their words do not: the fingerprint here is of 128 bits
-over the distinct words, and such pairs mostly differ in fewer than 12 of them. Two halves of 64 bits
-with coverings of radius 5 miss no pair within 11 bits, and find most a little beyond.
+All shingles have one order, seldom ones first. Two sets that are similar enough share a shingle among
+the first few of both (Chaudhuri et al., "A primitive operator for similarity joins", 2006), and what
+lies behind the first shared one bounds what they can have in common (Xiao et al., "PPJoin", 2008).
+Pairs that pass are compared by bitmaps, which never refuse a link (Sandes et al., "Bitmap filter",
+2017), and at last by their shingles.
 """
 
 from __future__ import annotations
@@ -13,102 +14,159 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathsonde.llm.common import cut, free_name, slices
 from pathsonde.llm.components import connected_components
-from pathsonde.llm.simhash import _lit, covering_masks, shingle_hashes
+from pathsonde.llm.simhash import shingle_hashes
 
-RADIUS, WORDS, SIMILARITY = 5, 5, 0.8
-#: Rows of buckets that a task makes, about.
-BUCKET_ROWS = 400_000
-#: Members of a bucket up to which all pairs are checked.
-PAIRS_UP_TO = 6
+WORDS, SIMILARITY = 5, 0.8
+#: Longs in a bitmap.
+LONGS = 8
+#: A text in so many is read for how common shingles are; those seen HOT_FROM times there are ordered by it, at most HOT_UP_TO of them.
+SAMPLE, HOT_FROM, HOT_UP_TO = 16, 4, 100_000
+#: Keeps rounding from refusing a pair.
+SLACK = 1e-6
 
 
-def word_fingerprint(text: str | None) -> tuple[int, int, int, int]:
-    """A 128-bit hash of the words in order, and the 128 bits set in over half of the distinct words' hashes; as signed longs."""
-    parts = (text or "").encode().lower().split()
-    own = np.frombuffer(xxhash.xxh128_digest(b" ".join(parts)), dtype=">i8")
-    kinds = set(parts)
-    if not kinds:
-        return int(own[0]), int(own[1]), 0, 0
-    bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh128_digest, kinds)), np.uint8).reshape(-1, 16), axis=1)
-    f = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(kinds)).view(">i8")
-    return int(own[0]), int(own[1]), int(f[0]), int(f[1])
+def text_hash(text: str | None) -> tuple[int, int]:
+    """A 128-bit hash of the words in order, as signed longs."""
+    own = np.frombuffer(xxhash.xxh128_digest(b" ".join((text or "").encode().lower().split())), dtype=">i8")
+    return int(own[0]), int(own[1])
 
 
-def _fingerprints(df: DataFrame) -> DataFrame:
-    """``(rid, key, k1, k2, f1, f2)`` of rows ``(rid, key, text)``."""
-    schema = df.select("rid", "key").schema
-    for n in ("k1", "k2", "f1", "f2"):
-        schema = schema.add(n, "long")
+def _hashed(df: DataFrame) -> DataFrame:
+    """``(rid, key, k1, k2)`` of rows ``(rid, key, text)``."""
+    schema = df.select("rid", "key").schema.add("k1", "long").add("k2", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            got = np.array([word_fingerprint(x.as_py()) for x in b.column(2)], dtype=np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(got[:, k]) for k in range(4))], schema.fieldNames())
+            got = np.array([text_hash(x.as_py()) for x in b.column(2)], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got[:, 0]), pa.array(got[:, 1])], schema.fieldNames())
 
     return df.mapInArrow(run, schema)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """LONGS longs; each bit is the parity of the hashes that fall on it, so two sets differ in as many hashes as bits at least."""
+    odd = np.bincount((s & (64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.empty(0, dtype=np.int64)])))
+
+
 def _shingles(df: DataFrame) -> DataFrame:
-    """``(node, s)`` of rows ``(node, text)``: distinct hashes of five-word shingles."""
+    """``(node, n, bits, s)`` of rows ``(node, text)``: the distinct hashes of five-word shingles, their number and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [np.unique(np.array(shingle_hashes(x.as_py(), WORDS), dtype=np.uint64)).view(np.int64) for x in b.column(1)]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            values = pa.array(np.concatenate([*sets, np.empty(0, dtype=np.int64)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["node", "s"])
+            sizes = pa.array([len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, _lists([bitmap(s) for s in sets]), _lists(sets)], ["node", "n", "bits", "s"])
 
-    return df.mapInArrow(run, "node long, s array<long>")
+    return df.mapInArrow(run, "node long, n int, bits array<long>, s array<long>")
 
 
-def _keys() -> Column:
-    """The bucket of a node in each table, as one hash of table and masked half."""
-    own = []
-    for half in ("f1", "f2"):
-        own += [F.xxhash64(F.lit(f"{half}/{k}"), F.col(half).bitwiseAND(_lit(m))) for k, m in enumerate(covering_masks(RADIUS))]
-    return F.array(*own)
+def _common(shingles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts often has, sorted, and how often. They order the shingles; no result rests on them."""
+    some = shingles.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select(F.explode("s").alias("s"))
+    counted = cut(some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_FROM))
+    least, total = None, 0
+    for n, k in sorted(((r[0], r[1]) for r in counted.groupBy("n").count().collect()), reverse=True):
+        total += k
+        if total > HOT_UP_TO:
+            break
+        least = n
+    rows = counted.filter(F.col("n") >= least).collect() if least else []
+    got = np.array([(r[0], r[1]) for r in rows], dtype=np.int64).reshape(-1, 2)
+    got = got[np.argsort(got[:, 0])]
+    return got[:, 0], got[:, 1]
+
+
+def _first_ones(shingles: DataFrame, similarity: float) -> DataFrame:
+    """``(node, n, shingle, rest)``: a text's first shingles, and how many it has from there on.
+
+    There are as many as leave less behind them than a similar text would need in common.
+    """
+    hot, often = _common(shingles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            nodes, sizes, first, rest = ([np.empty(0, dtype=np.int64)] for _ in range(4))
+            for node, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = s.values.to_numpy(zero_copy_only=False)
+                n = len(s)
+                if not n:
+                    continue
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+                    s = s[np.lexsort((s, np.where(hot[at] == s, often[at], 0)))]
+                k = n - int(np.ceil(similarity * n - SLACK)) + 1
+                nodes.append(np.full(k, node)), sizes.append(np.full(k, n)), first.append(s[:k]), rest.append(n - np.arange(k))
+            columns = [np.concatenate(c) for c in (nodes, sizes, first, rest)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["node", "n", "shingle", "rest"])
+
+    return shingles.select("node", "s").mapInArrow(run, "node long, n int, shingle long, rest int")
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     """Those of the distinct ``pairs(u, v)`` whose shingles are similar enough."""
-    with_u = pairs.join(shingles.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
-    both = with_u.join(shingles.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+    of = lambda c, *more: shingles.select(F.col("node").alias(c), *[F.col(m).alias(m + c) for m in more])
+    both = pairs.join(of("u", "n", "bits"), "u").join(of("v", "n", "bits"), "v")
+    differ = sum((F.bit_count(F.get("bitsu", F.lit(k)).bitwiseXOR(F.get("bitsv", F.lit(k)))) for k in range(LONGS)), F.lit(0))
+    total = F.col("nu") + F.col("nv")
+    near = cut(both.filter(differ <= F.lit((1 - similarity) / (1 + similarity)) * total + SLACK).select("u", "v"))
+    involved = cut(near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct())
+    shingles = shingles.join(involved, "node", "left_semi")
+    both = near.join(of("u", "s"), "u").join(of("v", "s"), "v")
     common = F.size(F.array_intersect("su", "sv"))
     return both.filter(common >= F.lit(similarity) * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
+def _links(shingles: DataFrame, similarity: float) -> DataFrame:
+    """``(u, v)``: links between nodes whose components are those of all links.
+
+    The texts of a bucket, those with one first shingle in common, are compared with the least of them; those
+    still apart, with one drawn anew in each bucket. That merges most, and what it leaves is compared whole:
+    all pairs of a bucket that are not in one group yet and that the bounds do not refuse.
+    """
+    placed = cut(_first_ones(shingles, similarity))
+    full = placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")).filter("members > 1")
+    members = cut(placed.join(full, "shingle"))
+    ordered = lambda pairs: pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    links = cut(_verified(ordered(members.filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))), shingles, similarity))
+
+    def grouped() -> DataFrame:
+        """The members of buckets of three and more with their groups, where a bucket has several."""
+        rows = members.filter("members > 2").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = cut(rows.select("shingle", "node", "n", "rest", "root"))
+        mixed = rows.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("shingle")
+        return cut(rows.join(mixed, "shingle", "left_semi"))
+
+    rows = grouped()
+    drawn = rows.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("shingle", "node").alias("h"), "node", "root")).alias("other"))
+    apart = rows.join(drawn, "shingle").filter(F.col("root") != F.col("other.root")).select(F.col("node").alias("u"), F.col("other.node").alias("v"))
+    links = cut(links.unionByName(_verified(ordered(apart), shingles, similarity)))
+
+    rows = grouped()
+    u, v = (rows.select("shingle", *[F.col(c).alias(c + x) for c in ("node", "n", "rest", "root")]) for x in ("u", "v"))
+    need = F.lit(similarity / (1 + similarity)) * (F.col("nu") + F.col("nv")) - SLACK
+    pairs = u.join(v, "shingle").filter((F.col("nodeu") < F.col("nodev")) & (F.col("rootu") != F.col("rootv")) & (F.least("restu", "restv") >= need))
+    return links.unionByName(_verified(pairs.select(F.col("nodeu").alias("u"), F.col("nodev").alias("v")).distinct(), shingles, similarity))
+
+
 def near_duplicate_groups(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(rid, group, keep)`` for rows ``(rid, key, text)``; ``keep`` is one rid of each group, that of the least key."""
-    own = cut(_fingerprints(rows))
+    own = cut(_hashed(rows))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("first")
-    nodes = cut(own.groupBy("k1", "k2").agg(first, F.first("f1").alias("f1"), F.first("f2").alias("f2"))).withColumn("node", F.monotonically_increasing_id())
-    tables, partitions = 2 * (2 ** (RADIUS + 1) - 1), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = nodes.repartition(max(partitions, nodes.count() * tables // BUCKET_ROWS + 1), "node")
-    placed = spread.select("node", F.explode(_keys()).alias("bucket"))
-    full = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("n > 1")
-    members = cut(placed.join(full, "bucket"))
-    small = members.filter(F.col("n") <= PAIRS_UP_TO)
-    pairs = small.select("bucket", F.col("node").alias("u")).join(small.select("bucket", F.col("node").alias("v")), "bucket").filter("v < u").select("u", "v")
-    large = members.filter(F.col("n") > PAIRS_UP_TO)
-    pairs = cut(pairs.unionByName(large.filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))).distinct())
-
-    involved = members.select("node").distinct()
-    texts = nodes.join(involved, "node").select("node", F.col("first.rid").alias("rid"))
+    nodes = cut(own.groupBy("k1", "k2").agg(first)).withColumn("node", F.monotonically_increasing_id())
+    texts = nodes.select("node", F.col("first.rid").alias("rid"))
     shingles = cut(_shingles(rows.select("rid", "text").join(texts, "rid").select("node", "text")))
-    links = cut(_verified(pairs, shingles, similarity))
-    roots = cut(connected_components(links))
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    drawn = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node")).alias("other")).select("bucket", "other.node")
-    apart = large.select("bucket", F.col("node").alias("u")).join(drawn.withColumnRenamed("node", "v"), "bucket").filter("u <> v").select("u", "v").distinct()
-    apart = apart.join(of("u"), "u", "left").join(of("v"), "v", "left")
-    apart = apart.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = cut(_verified(apart, shingles, similarity))
-    roots = connected_components(links.unionByName(more))
+    roots = connected_components(cut(_links(shingles, similarity)))
 
     grouped = nodes.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     keep = grouped.groupBy("group").agg(F.min("first").alias("best")).select("group", F.col("best.rid").alias("keep"))
@@ -121,10 +179,8 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
 
     Two texts are linked if their sets of five-word shingles (A-Z in lower case; a shorter text is
     one shingle) have a Jaccard similarity of at least ``similarity``; groups are what links connect.
-    Texts of the same words are equal, those without words too, null included. Candidates share a
-    bucket of the covering tables. Buckets of up to PAIRS_UP_TO texts check all pairs; in a larger one every text is checked
-    against the first, and, if that does not put both in one group, against another that is drawn anew in each table.
-    All columns stay. An empty table gives no rows.
+    Texts of the same words are equal, those without words too, null included. Groups are exact, but
+    for clashes of 64-bit hashes. All columns stay. An empty table gives no rows.
     """
     rid = free_name(df, "_rid")
     rows = cut(df).withColumn(rid, F.monotonically_increasing_id())

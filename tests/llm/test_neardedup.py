@@ -3,6 +3,8 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
+
 from pathsonde.llm.neardedup import drop_near_duplicates
 from tests.llm.test_simhash import plain_components
 
@@ -63,3 +65,48 @@ def test_documents(spark):
     got = {r.doc_id for r in drop_near_duplicates(df).collect()}
     want = {k for _, k in brute([(r.doc_id, r.text) for r in df.collect()])}
     assert want <= got and len(got - want) <= 0.002 * len(want)
+
+
+def plain_kept(texts):
+    """The kept places of ``texts`` by the counts of common shingles of all pairs."""
+    sets, ids = [shingles(t) for t in texts], {}
+    table = np.zeros((len(texts), len(set().union(*sets))), dtype=np.float32)
+    for row, s in zip(table, sets, strict=True):
+        row[[ids.setdefault(x, len(ids)) for x in s]] = 1
+    common, n = table @ table.T, table.sum(axis=1)
+    linked = np.argwhere(np.triu(9 * common >= 4 * (n[:, None] + n), 1))
+    return set(plain_components(range(len(texts)), linked.tolist()).values())
+
+
+def exact(spark, texts):
+    rows = list(enumerate(texts))
+    got = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_kept(texts)
+    assert len(want) < len(rows) and got == want, (len(got), len(want))
+
+
+def test_cut_lengthened_and_replaced_copies(spark):
+    """One link each between a text and its copy, so a link that is missed leaves both."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(4, 9)))
+    texts = []
+    for k in range(200):
+        base = [word() for _ in range(rng.randint(200, 400))]
+        n = int(len(base) * rng.uniform(0.08, 0.22))
+        new, at = [word() for _ in range(n)], rng.randrange(len(base) - n)
+        copy = [base[:-n], base + new, base[:at] + new[: n // 2] + base[at + n // 2 :], base[:at] + new + base[at:]][k % 4]
+        texts += [" ".join(base), " ".join(copy)]
+    exact(spark, texts)
+
+
+def test_pairs_in_a_hot_template(spark):
+    """Members of the template are no links of each other, but each has one copy."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(4, 9)))
+    template, texts = [word() for _ in range(200)], []
+    for _ in range(500):
+        member = [word() if rng.random() < 0.03 else w for w in template]
+        copy = list(member)
+        copy[rng.randrange(200)] = word()
+        texts += [" ".join(member), " ".join(copy)]
+    exact(spark, texts)
