@@ -23,8 +23,8 @@ PATTERNS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Code points on either side of an entity in which terms co-occur with it.
-REACH = 100
+#: Code points on either side of an entity in which terms co-occur with it: the whole text, which has fewer.
+REACH = 2**31 - 1
 #: Distinct texts in which term and entity meet at least; shares of the entity's information.
 MIN_TEXTS, GENERALISE_AT, REMOVE_AT = 3, 0.95, 0.999
 MIN_LETTERS = 4
@@ -93,33 +93,42 @@ def _keeps(kind: str):
     return lambda m: _valid(kind, m)
 
 
-def _entities(df: DataFrame, text: str) -> DataFrame:
-    """``(r, h, entity, terms)``: for each row r, whose text has the hash h, and mention of an entity, the words around it."""
+def _mentions(df: DataFrame, text: str) -> DataFrame:
+    """``(h, entity, start, end, copies)``: the mentions of entities in each distinct text, by its hash, and the rows that hold it."""
     names = {k: k for k in PATTERNS}
-    own = base_spans(df.select(F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("r")), "text", names)
-    c, tagged = F.col("text"), [_named(k) for k in PATTERNS]
-    each = own.filter(" or ".join(f"size({k}) > 0" for k in PATTERNS)).select("r", "h", "text", F.explode(F.concat(*tagged)).alias("e")).select("r", "h", "text", "e.*")
-    first = F.greatest(F.col("start") - REACH, F.lit(0))
-    before = F.substr(c, first + 1, F.col("start") - first)
-    after = F.substr(c, F.col("end") + 1, F.lit(REACH))
-    before = F.when(first > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
-    after = F.when(F.col("end") + REACH < F.char_length(c), F.regexp_replace(after, r"\S+$", "")).otherwise(after)
-    return each.select("r", "h", "entity", words_of(F.concat_ws(" ", before, after)).alias("terms"))
+    own = base_spans(df.select(F.col(text).alias("text"), F.xxhash64(text).alias("h")), "text", names)
+    each = own.filter(" or ".join(f"size({k}) > 0" for k in PATTERNS)).select("h", F.explode(F.concat(*[_named(k) for k in PATTERNS])).alias("e")).select("h", "e.*")
+    return each.groupBy("h", "entity", "start", "end").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def disclosing_terms(df: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """``(term, action, share)`` for the terms that reveal an entity, from all rows of ``df``.
 
-    A term and an entity meet where the term lies within REACH code points of the entity. They have to
+    A term and an entity meet where the term lies anywhere in a text beside the entity. They have to
     meet in at least ``min_texts`` distinct texts; otherwise counts are of rows. ``share`` is the mutual
     information over the entity's information content, the largest over all entities.
+
+    Entities in fewer texts are left out before texts are read for terms. So are terms in more rows than any that reach
+    ``generalise_at`` with the entity, as both meet in no more rows than the entity has.
     """
-    mentions = cut(_entities(df, text).select("r", "h", "entity", F.explode("terms").alias("term")).distinct())
-    pairs = mentions.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("h").alias("n_texts"))
-    pairs = cut(pairs.filter(F.col("n_texts") >= min_texts).drop("n_texts"))
-    holders = mentions.select("r", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    total = df.count()
+    mentions = cut(_mentions(df, text))
+    holders = mentions.groupBy("h", "entity").agg(F.max("copies").alias("copies")).groupBy("entity")
+    holders = holders.agg(F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_texts).drop("n")
+    most = F.pow(F.lit(float(max(total, 1))), F.lit(1 - generalise_at)) * F.pow(F.col("n_entity").cast("double"), F.lit(generalise_at)) * (1 + 1e-9)
+    held = cut(mentions.join(holders, "entity").withColumn("most", most))
     terms = df.select(F.explode(words_of(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    counted = pairs.join(holders, "entity").join(terms, "term").withColumn("texts", F.lit(df.count()))
+    limit = held.agg(F.max("most")).first()[0] or 0.0
+    terms = cut(terms.filter((F.col("n_term") >= min_texts) & (F.col("n_term") <= limit)))
+
+    texts = df.select(F.col(text).alias("text"), F.xxhash64(text).alias("h")).join(held.select("h").distinct(), "h", "left_semi")
+    texts = texts.groupBy("h").agg(F.first("text").alias("text"))
+    c = F.col("text")
+    beside = F.concat_ws(" ", F.substr(c, F.lit(1), F.col("start")), F.substr(c, F.col("end") + 1, F.char_length(c)))
+    near = held.join(texts, "h").select("h", "entity", "copies", "n_entity", "most", F.explode(words_of(beside)).alias("term"))
+    near = near.join(terms, "term").filter("n_term <= most").select("h", "entity", "term", "copies", "n_entity", "n_term").distinct()
+    pairs = near.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("n_texts"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    counted = pairs.filter(F.col("n_texts") >= min_texts).withColumn("texts", F.lit(total))
     mutual = F.log2(F.col("texts") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     share = F.when(F.col("n_entity") < F.col("texts"), mutual / F.log2(F.col("texts") / F.col("n_entity"))).otherwise(0.0)
     best = counted.withColumn("share", share).groupBy("term").agg(F.max("share").alias("share"))

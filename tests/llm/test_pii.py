@@ -112,3 +112,13 @@ def test_sanitise_and_empty(spark):
     out = sorted((r.doc_id, r.text) for r in sanitise(find_spans(df)).collect() if r.text is not None)
     assert out == [(1, "x [email], [phone] é [ip]")] * 2 + [(3, "")]
     assert find_spans(df.limit(0)).count() == 0
+
+
+def test_terms_far_from_the_entity(spark):
+    """The name stands in the header, the address in the signature."""
+    rng = random.Random(2)
+    filler = lambda: " ".join(rng.choices(["river", "stone", "cloud", "table", "window"], k=60))
+    texts = [filler() for _ in range(100)] + [f"Zarquon {filler()} zed@mail.example.org" for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.term: r.action for r in disclosing_terms(df).collect()} == {"zarquon": "remove"}
+    assert not any("Zarquon" in r.text for r in sanitise(find_spans(df)).collect())
