@@ -168,7 +168,7 @@ def embedding_components(df: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     hashed = lambda d: d.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(5), "v")})
     distinct = hashed(rows.filter("fine")).groupBy("k1", "k2").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("least"))
-    distinct = cut(distinct).withColumn("uid", F.monotonically_increasing_id())
+    distinct = cut(distinct.withColumn("uid", F.monotonically_increasing_id()))
     total = distinct.count()
     shards = max(1, shards, math.ceil(total / SHARD_ROWS))
     vectors = distinct.withColumns({"dim": F.size("v"), "shard": F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")})

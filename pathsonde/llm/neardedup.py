@@ -163,7 +163,7 @@ def near_duplicate_groups(rows: DataFrame, similarity: float = SIMILARITY) -> Da
     """``(rid, group, keep)`` for rows ``(rid, key, text)``; ``keep`` is one rid of each group, that of the least key."""
     own = cut(_hashed(rows))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("first")
-    nodes = cut(own.groupBy("k1", "k2").agg(first)).withColumn("node", F.monotonically_increasing_id())
+    nodes = cut(own.groupBy("k1", "k2").agg(first).withColumn("node", F.monotonically_increasing_id()))
     texts = nodes.select("node", F.col("first.rid").alias("rid"))
     shingles = cut(_shingles(rows.select("rid", "text").join(texts, "rid").select("node", "text")))
     roots = connected_components(cut(_links(shingles, similarity)))
@@ -183,7 +183,7 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     for clashes of 64-bit hashes. All columns stay. An empty table gives no rows.
     """
     rid = free_name(df, "_rid")
-    rows = cut(df).withColumn(rid, F.monotonically_increasing_id())
+    rows = cut(df.withColumn(rid, F.monotonically_increasing_id()))
     groups = near_duplicate_groups(rows.select(F.col(rid).alias("rid"), F.col(key).alias("key"), F.col(text).alias("text")), similarity)
     gone = cut(groups.filter("rid <> keep").select(F.col("rid").alias(rid)))
     return rows.join(gone, rid, "left_anti").select(*df.columns)

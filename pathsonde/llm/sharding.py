@@ -72,16 +72,18 @@ def shuffle_into_shards(df: DataFrame, shards: int = 24, seed: int = 20240, stab
     other rows. Input columns named like the added ones are replaced. An empty table gives no rows;
     with fewer rows than shards some shards stay empty.
 
-    ``stable`` says that ``df`` reads files without shuffling, so that each row has the same place
-    in every job; any other frame is written to the shared folder first. The driver gets one count
-    for each partition. Full rows are exchanged once.
+    The rows are written once to the shared folder, with their place and their rank in it, so that no
+    later job depends on how Spark splits files; ``stable`` makes no difference any more. The driver
+    gets one count for each partition. Full rows are exchanged once.
     """
     rows = df.drop(*[c for c in df.columns if c.lower() in (shard.lower(), slot.lower())])
-    rows = rows if stable else cut(rows)
     spark, width = df.sparkSession, 33
     pos, pid, key, rank, cell, base = (free_name(rows, f"_{x}") for x in ("pos", "pid", "key", "rank", "bin", "base"))
     place = F.monotonically_increasing_id()
-    counts = {r[0]: r[1] for r in rows.select(F.shiftright(place, width).alias(pid)).groupBy(pid).count().collect()}
+    local = rows.withColumn(pos, place).withColumn(key, F.xxhash64(F.lit(seed), pos)).sortWithinPartitions(key, pos)
+    local = local.withColumn(rank, place).withColumn(pid, F.shiftright(rank, width)).withColumn(rank, F.col(rank).bitwiseAND(F.lit((1 << width) - 1)))
+    local = cut(local.drop(key))
+    counts = {r[0]: r[1] for r in local.groupBy(pid).count().collect()}
     order, total = sorted(counts), sum(counts.values())
     ends = [[sum(row[: k + 1]) for k in range(shards)] for row in communication_matrix([counts[p] for p in order], shards, seed)]
     schema = T.StructType([T.StructField(pid, T.LongType()), T.StructField("ends", T.ArrayType(T.LongType()))])
@@ -90,8 +92,6 @@ def shuffle_into_shards(df: DataFrame, shards: int = 24, seed: int = 20240, stab
         matrix = F.broadcast(matrix)
     bits = max(0, math.ceil(math.log2(max(1, total / shards / ROWS_PER_BIN))))
 
-    local = rows.withColumn(pos, place).withColumn(key, F.xxhash64(F.lit(seed), pos)).sortWithinPartitions(key, pos)
-    local = local.withColumn(rank, place).withColumn(pid, F.shiftright(rank, width)).withColumn(rank, F.col(rank).bitwiseAND(F.lit((1 << width) - 1)))
     dealt = local.join(matrix, pid).withColumn(shard, F.size(F.filter("ends", lambda e: e <= F.col(rank))))
     again = dealt.withColumn(key, F.xxhash64(F.lit(seed + 1), pos))
     again = again.withColumn(cell, F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")).drop(pid, rank, "ends")

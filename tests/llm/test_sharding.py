@@ -56,3 +56,15 @@ def test_the_same_each_time(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     once, twice = (sorted((r.doc_id, r.shard, r.slot) for r in shuffle_into_shards(df, stable=True).collect()) for _ in range(2))
     assert once == twice
+
+
+def test_files_split_anew_between_jobs(spark):
+    """As when an executor joins or is lost: later jobs read the files in other partitions."""
+    df, how = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "spark.sql.files.maxPartitionBytes"
+    n, before = df.count(), spark.conf.get(how)
+    out = shuffle_into_shards(df, stable=True)
+    spark.conf.set(how, "100000")
+    try:
+        check(out.collect(), 24, n)
+    finally:
+        spark.conf.set(how, before)
