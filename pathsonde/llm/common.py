@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,23 +13,46 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a temporary folder serves a local session; on a cluster that is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="pathsonde-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if spark not in _OWN:
+        _OWN[spark] = "file://" + tempfile.mkdtemp(prefix="pathsonde-")
+    return _OWN[spark]
+
+
+_OWN: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
-    This ends the lineage, survives lost executors, and gives the planner true sizes,
-    so that it broadcasts only what lies under spark.sql.autoBroadcastJoinThreshold.
+    This ends the lineage, survives lost executors, and tells the planner how many bytes there are. These
+    are compressed; frames of repetitive arrays or texts are joined by ``shuffled``, which never broadcasts.
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``cut`` has written for these frames, once nothing that is still to run reads it."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join in which it is not to be broadcast, whatever its files' size."""
+    return df.hint("shuffle_merge")
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathsonde.llm.common import cut
+from pathsonde.llm.common import cut, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -45,7 +45,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, keep_self=False)
-        e = cut(_star(large.filter("v < u"), keep_self=True))
+        e, old = cut(_star(large.filter("v < u"), keep_self=True)), e
+        release(old)
         now = _state(e)
         if now == before:
             break
