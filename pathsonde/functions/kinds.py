@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import mimetypes
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +20,19 @@ KIND_WORDS = {
     "file dosya": ("file",), "text metin": ("code", "doc", "data", "config"),
 }
 
-#: Extensions by kind where media types say nothing, or not this.
+#: The extensions that mean one kind; results depend on each of them.
 EXTENSIONS = {
-    "code": "asm awk bash c cc cjs clj cmake cpp cs css cxx dart erl ex exs fish fs go gradle groovy h hpp hs ipynb java jl js jsx kt kts less lua m mjs ml mm nim nix php pl pm proto ps1 py pyi r rb rs s scala scss sh sql swift ts tsx vb vim vue zig zsh",
-    "doc": "adoc azw3 djvu doc docx eml epub htm html md mobi odp ods odt org pdf ppt pptx rst rtf srt tex txt vtt xhtml xls xlsx",
-    "archive": "7z apk bz2 cab crate deb dmg gem gz iso jar lz4 rar rpm tar tgz vmdk whl xz zip zst",
+    "code": "asm awk bash c cc cjs clj cljs cmake comp cpp cr cs css cxx dart el erl ex exs fish frag fs glsl gn gni go gradle groovy h hcl hlsl hpp hrl hs hxx idl ipynb java jl js jsx kt kts less lua m make metal mjs mk ml mli mm mts nim nix php pl pm proto ps1 py pyi pyx qml r rb rs s sass scala scss sh slint sol sql storyboard svelte swift tf thrift ts tsx ui vb vert vim vue wat wgsl wit zig zsh",
+    "image": "afdesign afphoto avif bmp cr2 dng gif heic ico jpeg jpg nef png psd raw svg tif tiff webp xcf",
+    "archive": "7z aar apk bz2 cab crate deb dmg gem gz img iso jar lz4 pkg qcow2 rar rpm squashfs tar tgz vdi vhd vhdx vmdk whl xz zip zst",
+    "doc": "1 adoc asciidoc ass azw3 djvu doc docx eml epub htm html mbox md mobi msg odp ods odt org pdf ppt pptx rst rtf srt sub tex txt vtt xhtml xls xlsx",
     "exec": "appimage bat cmd com dll dylib exe msi run so wasm",
-    "build": "a bc bin class d lib map o pdb pyc rlib rmeta",
-    "data": "avro csv dat db h5 json jsonl lock log npy npz onnx parquet pickle pkl po safetensors sqlite sqlite3 tsv xml xsd",
-    "config": "cer cfg conf crt env ini key pem plist properties toml yaml yml",
-    "font": "otf ttc ttf woff woff2", "image": "avif dng heic nef psd raw webp xcf", "audio": "flac m4a mid midi ogg opus", "video": "flv m4v mkv vob wmv",
+    "audio": "aac aif aiff flac m3u m3u8 m4a mid midi mp3 ogg opus pls wav wma",
+    "video": "3gp avi flv m4v mkv mov mp4 mpeg mpg ogv vob webm wmv",
+    "build": "a bc bin class d dex digest dill dwo gcda gch gcno ilk lib map mo o pch pdb pyc qm rlib rmeta timestamp",
+    "data": "arb avro csv dat db db3 dtd gguf h5 json jsonl lock log npy npz onnx pack parquet pickle pkl po pot pt pth resx safetensors sqlite sqlite3 tsv xliff xml xsd",
+    "config": "cer cfg conf crt der env ini jks keystore pbxproj pem pfx plist pom properties toml xcconfig yaml yml",
+    "font": "eot fon otf pcf ttc ttf woff woff2",
 }
 #: Names without an extension, whole and by how they begin.
 NAMES = {
@@ -45,9 +47,8 @@ RUNS = "desktop sh bash zsh ksh fish ps1 scr lnk vbs wsf jar".split()
 
 @functools.lru_cache(maxsize=1)
 def extensions() -> dict[str, str]:
-    """Kind of each extension: by the lists above, else by the main type of its registered media type."""
-    out = {e[1:]: t.split("/")[0] for e, t in mimetypes.MimeTypes().types_map[1].items() if t.split("/")[0] in ("image", "audio", "video", "font")}
-    return out | {e: k for k, words in EXTENSIONS.items() for e in words.split()}
+    """Kind of each extension."""
+    return {e: k for k, words in EXTENSIONS.items() for e in words.split()}
 
 
 def kind_words(word: str) -> tuple[str, ...] | None:

@@ -18,6 +18,8 @@ MARKS = (
 STROKED = {"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ŧ": "t", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe"}
 #: Blocks of letters that may carry marks: Latin, Greek, Cyrillic.
 LETTERS = (range(0xC0, 0x250), range(0x370, 0x530), range(0x1E00, 0x2000))
+#: What lower case leaves apart although a fold does not.
+FOLDED = str.maketrans({"ı": "i", "ς": "σ", "\u0307": None})
 FULL_WIDTH = range(0xFF01, 0xFF5F)
 
 
@@ -45,8 +47,8 @@ def is_mark(c: str) -> bool:
 
 
 def fold(s: str) -> str:
-    """Lower case by character, without the dot of a capital dotted I, and with a dotless i dotted."""
-    return "".join(c.lower() for c in s).replace("̇", "").replace("ı", "i")
+    """Lower case by character, without the dot of a capital dotted I, with a dotless i dotted and one form of sigma."""
+    return "".join(c.lower() for c in s).translate(FOLDED)
 
 
 def unaccent_folded(s: str) -> str:
@@ -64,7 +66,7 @@ def is_marked(s: str) -> bool:
 
 
 def fold_column(c: Column) -> Column:
-    return F.translate(F.lower(c), "ı̇", "i")
+    return F.translate(F.lower(c), "ıς̇", "iσ")
 
 
 def _mark_class(form: str) -> str:
@@ -85,7 +87,7 @@ def unaccent_column(c: Column) -> Column:
 
 def fold_sql(e: str) -> str:
     """The fold as DuckDB SQL."""
-    return f"translate(lower({e}), 'ı̇', 'i')"
+    return f"translate(lower({e}), 'ıς̇', 'iσ')"
 
 
 def unaccent_folded_sql(e: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -10,10 +11,12 @@ from pathsonde.functions.kinds import KIND_WORDS
 from pathsonde.functions.text import fold
 from pathsonde.lang import ast, fields, parser
 
-#: How kinds, columns and type bits are called.
-LABELS = {"file": "file", "folder": "folder", "code": "code", "image": "image", "archive": "archive", "doc": "document", "exec": "executable", "media": "media", "audio": "audio", "video": "video", "build": "build output", "data": "data", "config": "configuration", "font": "font"}
-COLUMNS = {"mode": "mode", "uid": "owner id", "gid": "group id", "items": "entries inside", "disk": "disk use", "mtime": "modified", "ctime": "created", "atime": "accessed"}
-NODE_WORDS = {0o100000: "a file", 0o040000: "a folder", 0o120000: "a symlink", 0o140000: "a socket", 0o010000: "a fifo", 0o060000: "a block device", 0o020000: "a character device"}
+#: What columns are called in a sentence.
+SUBJECTS = {"mode": "the mode", "uid": "the owner's number", "gid": "the group's number", "items": "the number of items in it", "disk": "the space on disk", "mtime": "the last change", "ctime": "the creation", "atime": "the last access"}
+NODES = {0o100000: "regular file", 0o040000: "directory", 0o120000: "symbolic link", 0o140000: "socket", 0o010000: "named pipe", 0o060000: "block device", 0o020000: "character device"}
+SINGLE_BITS = {0o4000: "set-user-id", 0o2000: "set-group-id", 0o1000: "sticky"}
+RELATIONS = {">": "over", "<": "under", ">=": "at least", "<=": "at most", "=": "exactly"}
+DAY_RELATIONS = {">": "after", "<": "before", ">=": "from", "<=": "up to", "=": "within"}
 
 
 def human_size(n: int) -> str:
@@ -25,67 +28,61 @@ def human_size(n: int) -> str:
     return f"{shown} {('B', 'KB', 'MB', 'GB', 'TB')[unit]}"
 
 
-def _bits(m: ast.Bits) -> str:
-    if m.mask == 0o170000 and not m.any:
-        return f"is {NODE_WORDS.get(m.want, 'of an unknown node type')}"
+def _mode(m: ast.Bits) -> tuple[str, str, str]:
     if m.any:
-        return "anyone may write to it" if m.mask == 2 else f"has any of the permission bits {m.mask:o}"
-    single = {0o4000: "runs as its owner", 0o2000: "runs as its group", 0o1000: "only its owner may delete what is inside"}
-    return single.get(m.mask) or (f"permissions are exactly {m.want:o}" if m.mask == 0o7777 else f"has all of the permission bits {m.mask:o}")
-
-
-def describe_match(m: ast.Match) -> str:
-    day = lambda s: datetime.fromtimestamp(s, UTC).strftime("%Y-%m-%d")
-    one_of = lambda what, xs: f"{what} is {xs[0]}" if len(xs) == 1 else f"{what} is one of {', '.join(xs)}"
-    match m:
-        case ast.NameContains(t):
-            return f'name contains "{t}"'
-        case ast.NameGlob(p):
-            return f'name matches "{p}"'
-        case ast.PathContains(t):
-            return f'path contains "{t}"'
-        case ast.Under(d):
-            return f"is under {d}"
-        case ast.ParentIs(d):
-            return f"is directly in {d}"
-        case ast.Ext(e):
-            return one_of("extension", ["." + x for x in e]) if e else "extension is one of ."
-        case ast.IsDir(w):
-            return "is a folder" if w else "is a file"
-        case ast.Size(c, v):
-            return f"size {c} {human_size(v)}"
-        case ast.Num(col, c, v):
-            return f"{COLUMNS[col]} {c} {v}"
-        case ast.Depth(c, v):
-            return f"path depth {c} {v}"
-        case ast.NameLen(c, v):
-            return f"name length {c} {v}"
-        case ast.NameContainsCased(t):
-            return f'name contains "{t}", exactly so'
-        case ast.NameNear(t, n):
-            return f'name contains "{t}", give or take {"one typing mistake" if n == 1 else f"{n} typing mistakes"}'
-        case ast.NameLetters(t):
-            return f'name has the letters "{t}" in that order'
-        case ast.Regex(p):
-            return f"name matches the pattern /{p}/"
-        case ast.Bits():
-            return _bits(m)
-        case ast.Kind(k):
-            return one_of("type", [LABELS[x] for x in k])
-        case ast.Time(col, c, v):
-            return f"{COLUMNS[col]} {'on' if c == '=' else c} {day(v)}"
-        case ast.ContentContains(t):
-            return f'contents contain "{t}"'
-    raise TypeError(m)
+        return "the mode", "shares a bit with", f"{m.mask:03o}"
+    if m.mask == 0o170000:
+        return "the entry", "is a", NODES.get(m.want, "node of another type")
+    if m.mask == 0o7777:
+        return "the mode", "equals", f"{m.want:03o}"
+    return "the mode", "includes", SINGLE_BITS.get(m.mask, f"{m.mask:03o}")
+
+
+def _quoted(text: str) -> str:
+    return f"\u201c{text}\u201d"
+
+
+def _day(seconds: int) -> str:
+    return datetime.fromtimestamp(seconds, UTC).date().isoformat()
+
+
+def _amount(subject: str, cmp: str, value: object) -> tuple[str, str, str]:
+    return subject, f"is {RELATIONS[cmp]}", str(value)
+
+
+#: Subject, verb and object of each predicate.
+CLAUSES: dict[type, Callable[..., tuple[str, str, str]]] = {
+    ast.NameContains: lambda m: ("the name", "holds", _quoted(m.text)),
+    ast.NameContainsCased: lambda m: ("the name", "holds, letter case included,", _quoted(m.text)),
+    ast.NameGlob: lambda m: ("the whole name", "fits", _quoted(m.pattern)),
+    ast.NameNear: lambda m: ("the name", f"holds, with up to {m.edits} typing error{'s' * (m.edits > 1)},", _quoted(m.text)),
+    ast.NameLetters: lambda m: ("the name", "spells, with gaps allowed,", _quoted(m.text)),
+    ast.NameLen: lambda m: _amount("the name's length", m.cmp, m.value),
+    ast.Regex: lambda m: ("the name", "fits the expression", m.pattern),
+    ast.PathContains: lambda m: ("the path", "holds", _quoted(m.text)),
+    ast.Under: lambda m: ("the path", "lies below", m.folder),
+    ast.ParentIs: lambda m: ("the parent", "is", m.folder),
+    ast.Depth: lambda m: _amount("the path's depth", m.cmp, m.value),
+    ast.Ext: lambda m: ("the extension", "is", "/".join(m.extensions) or "none of any"),
+    ast.IsDir: lambda m: ("the entry", "is a", "folder" if m.wanted else "file"),
+    ast.Kind: lambda m: ("the kind", "is", "/".join(m.kinds)),
+    ast.Size: lambda m: _amount("the size", m.cmp, human_size(m.value)),
+    ast.Num: lambda m: _amount(SUBJECTS[m.column], m.cmp, m.value),
+    ast.Bits: _mode,
+    ast.Time: lambda m: (SUBJECTS[m.column], f"falls {DAY_RELATIONS[m.cmp]}", _day(m.value)),
+    ast.ContentContains: lambda m: ("the content", "holds", _quoted(m.text)),
+}
+
+
+def describe_match(alt: ast.Alt) -> str:
+    """A clause such as "the name holds ...", with "it is untrue that" before a negated one."""
+    clause = " ".join(CLAUSES[type(alt.match)](alt.match))
+    return f"it is untrue that {clause}" if alt.negated else clause
 
 
 def describe(query: ast.Query) -> str:
-    """The query as an English sentence."""
-    groups = []
-    for g in query.groups:
-        alts = [("not " if a.negated else "") + describe_match(a.match) for a in g]
-        groups.append(alts[0] if len(alts) == 1 else f"({' or '.join(alts)})")
-    return " and ".join(groups) or "everything"
+    """The query in English: a clause for each predicate, alternatives joined by a comma and "or", groups by semicolons."""
+    return "; ".join(", or ".join(map(describe_match, g)) for g in query.groups) or "any entry"
 
 
 @dataclass(frozen=True)
@@ -159,7 +156,7 @@ def spans(text: str, context: fields.Context) -> list[Span]:
         if piece.isspace():
             runs.append((piece, "space", False))
             continue
-        literal = piece.startswith('"') or parser._is_known_field(piece)
+        literal = parser.is_literal(piece)
         for i, part in enumerate([piece] if literal else parser.cut_outside_quotes(piece, ";")):
             if i:
                 runs.append((";", "space", False))
@@ -169,7 +166,7 @@ def spans(text: str, context: fields.Context) -> list[Span]:
                 if alt == "!":
                     runs.append(("!", "not", True))
                 elif alt:
-                    for bang in [alt] if literal else parser.open_bangs([alt]):
+                    for bang in [alt] if literal else parser.split_bangs(alt):
                         runs += _term(bang, False, context)
     out, at = [], 0
     for run, role, negated in runs:

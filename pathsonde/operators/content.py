@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from pathsonde.functions import paths
 from pathsonde.operators.search import Engine
@@ -25,21 +26,29 @@ def any_case(needle: str) -> str:
 
 
 def pattern_of(needle: str, kind: str = "text", exact: bool = False) -> str:
-    """A Java pattern for a text, a multi-line regex, or bytes as hexadecimal digits (of UTF-8 text)."""
+    """A Java pattern for a text, a multi-line regex, or bytes as hexadecimal digits, over ``readable`` contents of that kind."""
     if kind == "text":
         return re.escape(needle) if exact else any_case(needle)
     if kind == "regex":
         return ("(?m)" if exact else "(?mi)") + needle
     if kind == "hex":
-        return re.escape(bytes.fromhex(re.sub(r"\s|0x", "", needle)).decode())
+        return "".join(f"\\x{b:02x}" for b in bytes.fromhex(re.sub(r"\s|0x", "", needle)))
     raise ValueError(kind)
 
 
 def decoded(raw: Column) -> Column:
-    """Text of a binary column: UTF-16 by its mark, else UTF-8."""
+    """Text of a binary column: UTF-16 by its mark, else UTF-8, in which what cannot be read becomes U+FFFD."""
     head = F.hex(F.substring(raw, 1, 2))
-    rest = F.substr(raw, F.lit(3))
-    return F.when(head == "FFFE", F.decode(rest, "UTF-16LE")).when(head == "FEFF", F.decode(rest, "UTF-16BE")).otherwise(F.decode(raw, "UTF-8"))
+    rest = F.substr(raw, F.lit(3), F.floor((F.octet_length(raw) - 2) / 2).cast("int") * 2)
+    return F.when(head == "FFFE", F.decode(rest, "UTF-16LE")).when(head == "FEFF", F.decode(rest, "UTF-16BE")).otherwise(F.make_valid_utf8(raw.cast("string")))
+
+
+def readable(contents: DataFrame, kind: str = "text") -> DataFrame:
+    """Contents as strings: decoded text, or for ``hex`` a character for each byte."""
+    c, binary = F.col("content"), isinstance(contents.schema["content"].dataType, BinaryType)
+    if kind == "hex":
+        return contents.withColumn("content", F.decode(c if binary else F.encode(c, "UTF-8"), "ISO-8859-1"))
+    return contents.withColumn("content", decoded(c)) if binary else contents
 
 
 def is_binary(content: Column) -> Column:
@@ -52,22 +61,25 @@ def outcome(content: Column, include_binary: bool = False) -> Column:
     return F.when(F.octet_length(content) == 0, "clean").when(F.octet_length(content) > LARGEST, "too_big").when(skip, "binary").otherwise("read")
 
 
-def grep_hits(contents: DataFrame, pattern: str, per_file: int = HITS_PER_FILE, include_binary: bool = False) -> DataFrame:
+def grep_hits(contents: DataFrame, pattern: str, per_file: int = HITS_PER_FILE, include_binary: bool = False, kind: str = "text") -> DataFrame:
     """``(source, path, hits, more)`` of contents with a find; a hit is the first find of a line: its number, byte offset, excerpt and place.
 
+    Contents are strings or binary (UTF-16 by its mark, else UTF-8); offsets are of the text in UTF-8, for ``hex`` of the bytes.
+
     Lines stay in their row: nothing is exploded or shuffled.
     """
-    c = F.col("content")
+    c, contents = F.col("content"), readable(contents, kind)
+    length = F.char_length if kind == "hex" else F.octet_length
     read = contents.filter((outcome(c, include_binary) == "read") & F.regexp_like(c, F.lit(pattern)))
     lines = F.split(c, "\n", -1)
     numbered = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), lambda x: F.regexp_like(x["text"], F.lit(pattern)))
     found = read.withColumn("found", numbered)
-    offset = lambda n: F.octet_length(F.array_join(F.slice(lines, F.lit(1), n - 1), "\n")) + F.when(n > 1, 1).otherwise(0)
+    offset = lambda n: length(F.array_join(F.slice(lines, F.lit(1), n - 1), "\n")) + F.when(n > 1, 1).otherwise(0)
     before = lambda x: F.char_length(F.element_at(F.split(x["text"], pattern, 2), 1))
     size = lambda x: F.char_length(F.regexp_substr(x["text"], F.lit(pattern)))
     start = lambda x: F.greatest(before(x) - EXCERPT // 2, F.lit(0))
     hit = lambda x: F.struct(
-        x["line"].alias("line"), (offset(x["line"]) + F.octet_length(F.substr(x["text"], F.lit(1), before(x)))).cast("long").alias("offset"),
+        x["line"].alias("line"), (offset(x["line"]) + length(F.substr(x["text"], F.lit(1), before(x)))).cast("long").alias("offset"),
         F.substr(x["text"], start(x) + 1, F.lit(EXCERPT)).alias("excerpt"), (before(x) - start(x)).alias("at"), size(x).alias("length"),
     )
     shown = F.transform(F.slice("found", 1, per_file), hit)
@@ -77,7 +89,7 @@ def grep_hits(contents: DataFrame, pattern: str, per_file: int = HITS_PER_FILE,
 def grep(engine: Engine, contents: DataFrame, query: str, needle: str, kind: str = "text", exact: bool = False, top: int = TOP_FILES) -> DataFrame:
     """Hits in the ``top`` newest matching files, newest first."""
     candidates = engine.where(query).filter(~F.col("is_dir") & (F.col("size") > 0)).select("source", "path", "mtime")
-    hits = grep_hits(contents.join(candidates, ["source", "path"], "left_semi"), pattern_of(needle, kind, exact))
+    hits = grep_hits(contents.join(candidates, ["source", "path"], "left_semi"), pattern_of(needle, kind, exact), include_binary=kind == "hex", kind=kind)
     return hits.join(candidates, ["source", "path"]).orderBy(F.desc("mtime"), "path").limit(top)
 
 

@@ -78,7 +78,7 @@ def apply_report(table: DataFrame, changes: DataFrame) -> DataFrame:
     ups = latest(changes).select(*KEY, F.struct(*[F.col(f"entry.{c}").alias(c) for c in TELLING]).alias("new"))
     same = ups.join(table.select(*KEY, F.struct(*TELLING).alias("old")), KEY).filter("old = new")
     subtrees = changes.filter("op = 'remove_subtree'").select("source", "path").distinct()
-    removed = covered(table.select(*KEY), subtrees.select("path").distinct())
+    removed = covered(table.select(*KEY), subtrees)
     count = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
     return count(ups, "upserted").crossJoin(count(same, "unchanged")).crossJoin(count(subtrees, "subtrees_removed")).crossJoin(count(removed, "rows_removed"))  # one row each
 

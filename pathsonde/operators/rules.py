@@ -57,25 +57,31 @@ class Rules:
         return self._inside(path, self.deny) | (~self.allows(path, is_dir) & out)
 
     def excludes_path(self, path: Column) -> Column:
-        """The generous form that needs no ``is_dir``: what either a file or a folder of that name would be allowed is kept."""
-        folder = F.concat(F.lower(path), F.lit("/"))
-        by_file = F.lower(paths.name_of(path)).isin(*[f.lower() for f in self.files])
-        out = self._inside(path, self.paths) | self._holds(folder, self.dirs) | by_file
-        kept = self.allows(path, F.lit(False)) | self.allows(path, F.lit(True))
-        return self._inside(path, self.deny) | (~kept & out)
+        """The generous form that needs no ``is_dir``: what would stay as a file or as a folder of that name stays, unless it is denied."""
+        as_any = [self.excludes(path, F.lit(d)) for d in (True, False)]
+        allowed = [self.allows(path, F.lit(d)) for d in (True, False)]
+        return self._inside(path, self.deny) | (_any(as_any) & ~_any(allowed))
 
     def may_contain_allowed(self, folder: str) -> bool:
-        """Whether something below an excluded folder is allowed, so that a walk has to go on."""
-        own = [p.lower() for p in folder.split("/") if p]
-        for a in self.allow:
-            if a.startswith("/"):
-                if a == folder or paths.is_under(a, folder):
-                    return True
-            else:
-                rule = a.lower().strip("/").split("/")
-                if any(own[-n:] == rule[:n] for n in range(1, min(len(rule), len(own)) + 1)):
-                    return True
-        return False
+        """Whether something below an excluded folder is allowed, so that a walk has to go on.
+
+        That is so for the folders above an absolute rule, and for one whose last names begin a sequence.
+        """
+        here = f"{folder.rstrip('/')}/"
+        sequences = [a.lower().strip("/").split("/") for a in self.allow if not a.startswith("/")]
+        begun = tuple(f"/{'/'.join(names[:n])}/" for names in sequences for n in range(1, len(names) + 1))
+        return f"/{here.lower()}".endswith(begun) or any(f"{a.rstrip('/')}/".startswith(here) for a in self.allow if a.startswith("/"))
+
+    def leaves_out(self, path: str, is_dir: bool) -> bool:
+        """``excludes`` of one path, for walks."""
+        name, low = path.rsplit("/", 1)[-1].lower(), path.lower()
+        home = low if is_dir else low.rsplit("/", 1)[0]
+        inside = lambda roots: any(f"{path}/".startswith(f"{r.rstrip('/')}/") for r in roots)
+        if inside(self.deny):
+            return True
+        if inside(a for a in self.allow if a.startswith("/")) or any(home.endswith("/" + a.lower().strip("/")) for a in self.allow if not a.startswith("/")):
+            return False
+        return inside(self.paths) or any(f"/{d.lower().strip('/')}/" in f"{home}/" for d in self.dirs) or (not is_dir and name in {f.lower() for f in self.files})
 
 
 def apply_rules(entries: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
@@ -93,8 +99,8 @@ def reduce_prefixes(prefixes: DataFrame) -> DataFrame:
 
 
 def covered(rows: DataFrame, prefixes: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows at or below one of the prefixes (left_semi), or the others (left_anti)."""
+    """Rows at or below one of the prefixes (left_semi), or the others (left_anti); prefixes with a source count for it alone."""
     ids = rows.select("source", "path").distinct()
     chain = F.explode(F.concat(paths.ancestors_of(F.col("path")), F.array("path")))
-    hit = ids.select("source", "path", chain.alias("prefix")).join(prefixes.select(F.col("path").alias("prefix")), "prefix", "left_semi")
+    hit = ids.select("source", "path", chain.alias("prefix")).join(prefixes.withColumnRenamed("path", "prefix"), [c for c in ("source", "prefix") if c == "prefix" or c in prefixes.columns], "left_semi")
     return rows.join(hit.select("source", "path").distinct(), ["source", "path"], how)

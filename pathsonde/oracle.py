@@ -1,4 +1,4 @@
-"""DuckDB SQL that states, independently of the engine, what each query returns."""
+"""DuckDB SQL that states what each query returns. Fixed values (kinds by extension, letters without marks) are the engine's own tables."""
 
 from __future__ import annotations
 
@@ -75,6 +75,11 @@ def near_sql(term: str) -> str:
     return f"({close} OR " + " OR ".join(f"contains(bare, '{s}')" for s in sorted(swaps)) + ")"
 
 
+def near_two_sql(term: str) -> str:
+    close = " OR ".join(f"len(list_filter(range(1, length(bare) + 1), lambda i: damerau_levenshtein(substr(bare, i, {m}), '{term}') <= 2)) > 0" for m in range(len(term) - 2, len(term) + 3))
+    return f"({close})"
+
+
 #: Query text and what it means.
 PREDICATES: dict[str, tuple[str, str]] = {
     "pred_name": ("Bolt", "contains(bare, 'bolt')"),
@@ -129,9 +134,10 @@ PREDICATES: dict[str, tuple[str, str]] = {
     "pred_fuzzy_long": ("typo:wigdet", near_sql("wigdet")),
 }
 ORACLE = {name: where(sql) for name, (_, sql) in PREDICATES.items()}
+ORACLE["pred_fuzzy_2"] = where(near_two_sql("smlal_wdiget"))
 ORACLE["pred_exact_accents"] = where("contains(cased, 'on')")
 
-SORT_FILTER = "contains(bare, 'bolt') OR kind = 1 OR ext = 'mp3' OR (kind = 5 AND source = 0)"
+SORT_FILTER = "contains(bare, 'bolt') OR is_dir OR (NOT is_dir AND ext = 'mp3') OR kind = 5"
 SORT_KEYS = {"name": "bare", "path": "path", "size": "size", "modified": "mtime", "created": "ctime", "accessed": "atime", "ext": "ext", "kind": "kind", "mode": "mode", "uid": "uid", "gid": "gid", "disk": "disk"}
 for _sort, _key in SORT_KEYS.items():
     for _way in ("asc", "desc"):
@@ -177,7 +183,7 @@ ORACLE["owner_join"] = f"""{ENTRIES} SELECT source, path, coalesce(u.n_name, CAS
 ORACLE["export_cells"] = f"""{ENTRIES} SELECT name, parent AS path, path AS "full", ext, CAST(size AS VARCHAR) AS size, CASE WHEN mtime > 0 THEN strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d %H:%M:%S') ELSE '' END AS mtime,
   ({TOKENS})[kind + 1] AS kind, {MODE} AS perm, CAST(uid AS VARCHAR) AS "user", '' AS items, '' AS nonsense FROM entries WHERE contains(bare, 'bolt')"""
 ORACLE["runs_when_opened"] = f"{ENTRIES} SELECT path FROM entries WHERE NOT is_dir AND (kind = 6 OR ext IN ('desktop', 'sh', 'bash', 'zsh', 'ksh', 'fish', 'ps1', 'scr', 'lnk', 'vbs', 'wsf', 'jar'))"
-ORACLE["turkish_upper"] = f"{ENTRIES} SELECT path, upper(replace(name, 'i', 'İ')) AS upper FROM entries WHERE source = 3"
+ORACLE["turkish_upper"] = f"{ENTRIES} SELECT source, path, upper(replace(replace(name, 'i', 'İ'), 'ß', 'SS')) AS upper FROM entries"
 
 
 def _facet(question: str, key: str, extra: str = "true", top: int | None = 20, filt: str = "true") -> str:
@@ -238,7 +244,7 @@ ORACLE["subtree_sizes"] = f"""{ENTRIES}, up AS (SELECT *, unnest(range(2, len(st
   SELECT array_to_string(string_split(path, '/')[1:i], '/') AS path, {_totals()} FROM up GROUP BY ALL"""
 ORACLE["folder_weight"] = f"""{ENTRIES}, up AS (SELECT *, unnest(range(2, len(string_split(path, '/')))) AS i FROM entries WHERE NOT is_dir),
   sizes AS (SELECT array_to_string(string_split(path, '/')[1:i], '/') AS path, CAST(sum(disk // links) AS BIGINT) AS d, count(*) AS n FROM up GROUP BY ALL)
-  SELECT e.path, CASE WHEN is_dir THEN coalesce(d, 0) END AS under_disk, CASE WHEN is_dir THEN coalesce(n, 0) END AS under_files FROM entries e LEFT JOIN sizes s ON s.path = e.path WHERE e.source = 3 AND e.depth <= 3"""
+  SELECT e.source, e.path, CASE WHEN is_dir THEN coalesce(d, 0) END AS under_disk, CASE WHEN is_dir THEN coalesce(n, 0) END AS under_files FROM entries e LEFT JOIN sizes s ON s.path = e.path"""
 ORACLE["children_count"] = f"{ENTRIES} SELECT parent, count(*) AS children FROM entries GROUP BY parent"
 ORACLE["dir_tree"] = f"""{ENTRIES}, kids AS (SELECT parent AS path, count(*) AS n FROM entries GROUP BY parent),
   placed AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY bare, path) AS place FROM entries WHERE starts_with(path, '/parts/') AND depth <= 3 QUALIFY place <= 4),
@@ -268,6 +274,7 @@ def _hits(pattern: str, filt: str = "true", top: int = 50) -> str:
 
 ORACLE["grep_text"] = _hits("[lL][iIİı][cC][eE][nN][sS][eE]")
 ORACLE["grep_regex"] = _hits("(?i)token = .[0-9a-f]+", top=1000)
+ORACLE["grep_hex"] = _hits("token =", top=1000)
 ORACLE["grep_in_query"] = _hits("[tT][hH][eE] [aA]", "e.source = 4", top=20)
 ORACLE["content_and_query"] = f"""{CONTENTS} SELECT e.source, e.path FROM entries e JOIN contents c ON c.source = e.source AND c.path = e.path
   WHERE NOT is_dir AND ext = 'txt' AND regexp_matches(content, '[tT][hH][eE] ') AND regexp_matches(content, '[lL][iIİı][cC][eE][nN][sS][eE]')"""
@@ -279,7 +286,7 @@ ORACLE["rules_allow"] = f"""{ENTRIES} SELECT source, path FROM entries WHERE NOT
   NOT (path = '/parts/Brand1/SMALL' OR starts_with(path, '/parts/Brand1/SMALL/') OR (lower(CASE WHEN is_dir THEN path ELSE parent END) LIKE '%/brand3/small')) AND contains(lower(CASE WHEN is_dir THEN path ELSE parent END) || '/', '/small/')))"""
 ORACLE["rules_gone"] = f"""{ENTRIES}, gone AS (SELECT DISTINCT path FROM entries WHERE contains(lower(CASE WHEN is_dir THEN path ELSE parent END) || '/', '/small/'))
   SELECT path FROM gone g WHERE NOT EXISTS (SELECT 1 FROM gone o WHERE starts_with(g.path, o.path || '/'))"""
-ORACLE["prefix_reduce"] = f"""{ENTRIES}, own AS (SELECT DISTINCT path FROM entries WHERE is_dir AND depth >= 2 AND (length(path) % 3 = 0 OR depth = 3))
+ORACLE["prefix_reduce"] = f"""{ENTRIES}, own AS (SELECT DISTINCT path FROM entries WHERE is_dir AND contains(bare, '1'))
   SELECT path FROM own g WHERE NOT EXISTS (SELECT 1 FROM own o WHERE starts_with(g.path, o.path || '/'))"""
 ORACLE["owner_of_path"] = f"""{ENTRIES}, roots AS (SELECT * FROM (VALUES (1, '/parts'), (2, '/parts/Brand1'), (3, '/orders'), (4, '/parts/Brand1/SMALL')) t(s, root))
   SELECT path, arg_max(s, length(root)) AS source FROM (SELECT DISTINCT path FROM entries) LEFT JOIN roots ON path = root OR starts_with(path, root || '/') GROUP BY path"""

@@ -48,7 +48,7 @@ def pred_exact_accents(spark, sf_dir):
 
 @query
 def pred_fuzzy_2(spark, sf_dir):
-    """Two mistakes; SQL has no alignment distance, tests hold it against the plain table."""
+    """Two mistakes, by the alignment table."""
     return engine(spark, sf_dir).where("fuzzy:smlal_wdiget").select(*SHOWN)
 
 
@@ -61,8 +61,7 @@ def _sorted(sort: str, descending: bool) -> Run:
     def run(spark, sf_dir):
         own = engine(spark, sf_dir)
         asked = "bolt|folder:|ext:mp3|kind:doc"
-        rows = own.where(asked).filter("bare like '%bolt%' or kind = 1 or ext = 'mp3' or (kind = 5 and source = 0)")
-        page = keyed(rows, sort, own.parse(asked)).orderBy(*order(descending)).limit(60)
+        page = keyed(own.where(asked), sort, own.parse(asked)).orderBy(*order(descending)).limit(60)
         return ranked(page, *order(descending)).select("rank", "path")
 
     return run
@@ -166,7 +165,7 @@ def runs_when_opened(spark, sf_dir):
 
 @query
 def turkish_upper(spark, sf_dir):
-    return sample_entries(spark, sf_dir).filter("source = 3").select("path", text.turkish_upper(F.col("name")).alias("upper"))
+    return sample_entries(spark, sf_dir).select("source", "path", text.turkish_upper(F.col("name")).alias("upper"))
 
 
 @query
@@ -241,8 +240,7 @@ def subtree_sizes(spark, sf_dir):
 @query
 def folder_weight(spark, sf_dir):
     own = sample_entries(spark, sf_dir)
-    page = usage.with_folder_weight(own.filter("source = 3 and depth <= 3"), own, NOW)
-    return page.select("path", F.col("under.disk").alias("under_disk"), F.col("under.files").alias("under_files"))
+    return usage.with_folder_weight(own, own, NOW).select("source", "path", F.col("under.disk").alias("under_disk"), F.col("under.files").alias("under_files"))
 
 
 @query
@@ -296,6 +294,11 @@ def grep_regex(spark, sf_dir):
     return _lines(content.grep(engine(spark, sf_dir), sample_contents(spark, sf_dir), "", "token = .[0-9a-f]+", kind="regex", top=1000))
 
 
+@query
+def grep_hex(spark, sf_dir):
+    return _lines(content.grep(engine(spark, sf_dir), sample_contents(spark, sf_dir), "", "74 6f 6b 65 6e20 3d", kind="hex", top=1000))
+
+
 @query
 def grep_in_query(spark, sf_dir):
     return _lines(content.grep(engine(spark, sf_dir), sample_contents(spark, sf_dir), "under:/chats", "the a", top=20))
@@ -326,7 +329,7 @@ def rules_gone(spark, sf_dir):
 
 @query
 def prefix_reduce(spark, sf_dir):
-    return rules.reduce_prefixes(sample_entries(spark, sf_dir).filter("is_dir and depth >= 2 and (length(path) % 3 = 0 or depth = 3)"))
+    return rules.reduce_prefixes(engine(spark, sf_dir).where("folder: 1"))
 
 
 @query

@@ -13,8 +13,10 @@ SCHEMA = T.StructType(
     [T.StructField("source", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("is_dir", T.BooleanType())]
     + [T.StructField(n, T.LongType()) for n in ("size", "mtime", "ctime", "atime", "mode", "uid", "gid", "disk", "items", "links")]
 )
+#: Columns that a segment keeps beside them, so that filters on names, kinds and folders reach the files.
+DERIVED = T.StructType([T.StructField(n, T.IntegerType() if n == "kind" else T.LongType() if n == "depth" else T.StringType()) for n in ("name", "parent", "cased", "bare", "ext", "kind", "depth")])
 META = [f.name for f in SCHEMA.fields[3:]]
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 #: The clock of relative times in queries over the sample tables.
 NOW = 1_785_000_000
 
@@ -91,9 +93,29 @@ def sample_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_segment(entries: DataFrame, path: str) -> None:
-    """Write rows in the order in which most queries return them, so that row groups have narrow ranges of time and path."""
-    entries.select(*SCHEMA.fieldNames()).sortWithinPartitions(F.desc("mtime"), "path").write.mode("append").parquet(path)
+    """Write rows with their derived columns, in the order in which most queries return them, so that row groups have narrow ranges of time and path.
+
+    Segments of another format are refused.
+    """
+    _check_format(entries.sparkSession, path, write=True)
+    rows = entries if set(DERIVED.fieldNames()) <= set(entries.columns) else derive(entries)
+    rows.select(*SCHEMA.fieldNames(), *DERIVED.fieldNames()).sortWithinPartitions(F.desc("mtime"), "path").write.mode("append").parquet(path)
+
+
+def _check_format(spark: SparkSession, path: str, write: bool = False) -> None:
+    """The format of a table of segments is the name of a folder that readers of data skip."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = "_format-"
+    found = [int(n[len(mark) :]) for s in (fs.listStatus(at) if fs.exists(at) else []) if (n := s.getPath().getName()).startswith(mark)]
+    if found != [FORMAT_VERSION] and (found or not write):
+        raise ValueError(f"{path} has segments of format {found or 'unknown'}, not {FORMAT_VERSION}")
+    if not found:
+        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(at, f"{mark}{FORMAT_VERSION}"))
 
 
 def read_segments(spark: SparkSession, *table: str) -> DataFrame:
-    return derive(spark.read.schema(SCHEMA).parquet(*table))
+    """Segments with their derived columns as they are stored; nothing is derived again."""
+    for t in table:
+        _check_format(spark, t)
+    return spark.read.schema(T.StructType([*SCHEMA.fields, *DERIVED.fields])).parquet(*table)

@@ -48,6 +48,16 @@ class VersionedTable:
         """Counts publishes and batches; readers compare it to see whether anything is new."""
         return max(self.revisions(), default=-1)
 
+    def first_revision(self, checkpoint: str) -> int:
+        """The revision of a stream's batch 0; settled when the stream first starts, as the name of a folder beside its checkpoint."""
+        parent = self.spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}-first")
+        fs = parent.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(parent):
+            (kept,) = (int(s.getPath().getName()) for s in fs.listStatus(parent))
+            return kept
+        fs.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(parent, str(self.revision() + 1)))
+        return self.revision() + 1
+
     def _settle(self, df: DataFrame) -> DataFrame:
         """Write a small frame and read it again, so that the planner knows its size and joins it without moving the base."""
         at = f"{self.path}/_work/{uuid.uuid4().hex}"

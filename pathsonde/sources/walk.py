@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import stat
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from pathsonde.operators.rules import Rules
 from pathsonde.sources.entries import META, SCHEMA
 
 
@@ -18,7 +20,11 @@ class Folder(InputPartition):
 
 
 class FileTree(DataSource):
-    """Options: ``path`` (a root, or several separated by ``|``), ``source`` (its number), ``hidden``, ``follow``, ``metadata`` (true or false), ``exclude`` (names separated by ``|``)."""
+    """Options: ``path`` (a root, or several separated by ``|``), ``source`` (its number), ``hidden``, ``follow``, ``metadata`` (true or false), ``exclude`` (names separated by ``|``), ``rules`` (a JSON object with fields of ``Rules``).
+
+    A folder that the rules leave out is not read, unless something below it may be allowed. With ``follow``, a
+    folder is not entered from below itself.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -37,13 +43,14 @@ class Reader(DataSourceReader):
         flag = lambda n, default: options.get(n, default).lower() == "true"
         self.hidden, self.follow, self.metadata = flag("hidden", "true"), flag("follow", "false"), flag("metadata", "true")
         self.number, self.excluded = int(options.get("source", "0")), set(filter(None, options.get("exclude", "").split("|")))
+        self.rules = Rules(**{k: tuple(v) for k, v in json.loads(options["rules"]).items()}) if "rules" in options else None
 
     def partitions(self) -> list[InputPartition]:
         """A task for each folder directly in a root, and one for the root itself."""
         out: list[InputPartition] = []
         for root in self.roots:
             out.append(Folder(root, False))
-            out += [Folder(e.path, True) for e in self._list(root) if e.is_dir(follow_symlinks=self.follow)]
+            out += [Folder(e.path, True) for e in self._list(root) if e.is_dir(follow_symlinks=self.follow) and self._enters(e.path)]
         return out
 
     def _list(self, folder: str) -> list[os.DirEntry]:
@@ -53,7 +60,23 @@ class Reader(DataSourceReader):
         except OSError:  # gone or closed to us: nothing to list
             return []
 
+    def _left_out(self, path: str, is_dir: bool) -> bool:
+        return self.rules is not None and self.rules.leaves_out(path, is_dir)
+
+    def _enters(self, folder: str) -> bool:
+        return not self._left_out(folder, True) or self.rules.may_contain_allowed(folder)
+
+    @staticmethod
+    def _identity(folder: str) -> tuple[int, int] | None:
+        try:
+            s = os.stat(folder)
+        except OSError:
+            return None
+        return s.st_dev, s.st_ino
+
     def _row(self, path: str, is_dir: bool) -> tuple | None:
+        if self._left_out(path, is_dir):
+            return None
         if not self.metadata:
             return (self.number, path, is_dir, *(-1 if c == "items" else 1 if c == "links" else 0 for c in META))
         try:
@@ -70,13 +93,20 @@ class Reader(DataSourceReader):
                 yield row
             yield from (r for e in self._list(partition.path) if not e.is_dir(follow_symlinks=self.follow) and (r := self._row(e.path, False)))
             return
-        todo = [partition.path]
+        above = {self._identity(os.path.dirname(partition.path))} if self.follow else set()
+        todo = [(partition.path, above)]
         while todo:
-            folder = todo.pop()
+            folder, above = todo.pop()
+            if self.follow:
+                own = self._identity(folder)
+                if own in above:
+                    continue
+                above = above | {own}
             if row := self._row(folder, True):
                 yield row
             for e in self._list(folder):
                 if e.is_dir(follow_symlinks=self.follow):
-                    todo.append(e.path)
+                    if self._enters(e.path):
+                        todo.append((e.path, above))
                 elif row := self._row(e.path, False):
                     yield row

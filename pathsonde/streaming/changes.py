@@ -20,9 +20,10 @@ QUIET_MS, CAP_MS = 500, 3_000
 def apply_stream(changes: DataFrame, table: VersionedTable, checkpoint: str, **trigger):
     """Start a query that appends each micro-batch of ``changes(seq, op, source, path, entry)`` to the table, and folds batches as they grow.
 
-    A batch that is run again writes the same revision, so each change counts once.
+    A batch that is run again, by a query started again too, writes the same revision, so each change counts once:
+    the first revision is kept beside the checkpoint.
     """
-    first = table.revision() + 1
+    first = table.first_revision(checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         table.append(batch, first + batch_id)

@@ -127,9 +127,11 @@ def test_forgiving_text_agrees_with_the_query():
 
 def test_introspection():
     d = lambda t: introspect.describe(parser.parse(t, CTX))
-    assert d("") == "everything" and d("a|!b ext:rs") == '(name contains "a" or not name contains "b") and extension is .rs'
-    assert d("size:>10mb") == "size > 10 MB" and d("kind:image") == "type is image" and d("suid:") == "runs as its owner"
-    assert d("dm:2026-01-02") == "modified on 2026-01-02" and d("fuzzy:kitap").endswith("one typing mistake")
+    assert d("") == "any entry" and d("a|!b ext:rs;py") == "the name holds \u201ca\u201d, or it is untrue that the name holds \u201cb\u201d; the extension is rs/py"
+    assert d("size:>10mb") == "the size is over 10 MB" and d("kind:image") == "the kind is image" and d("suid:") == "the mode includes set-user-id"
+    assert d("dm:2026-01-02") == "the last change falls within 2026-01-02" and "up to 1 typing error," in d("fuzzy:kitap")
+    every = "a a/b a* case:A fuzzy:kitap letters:abc len:3 regex:a under:/a parent:/a depth:2 ext:rs file: kind:image size:1 uid:1 perm:644 perm:/222 perm:-200 node:l dm:7d content:x items:3"
+    assert d(every).count(";") == len(every.split()) - 1
     roles = lambda t: [s.role for s in introspect.spans(t, CTX)]
     assert roles('!ext:rs;py a* "b c"|zz:1') == ["not", "field", "colon", "value", "sep", "value", "space", "glob", "space", "quote", "phrase", "quote", "or", "unknown_field", "colon", "text"]
     assert roles("size:>1mb kind:zurna") == ["field", "colon", "cmp", "value", "space", "field", "colon", "bad_value"]

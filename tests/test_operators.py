@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import os
 import time
 
@@ -76,6 +77,8 @@ def test_changes_in_order(spark):
     report = reconcile.apply_report(own, batch).first()
     assert (report.upserted, report.unchanged, report.subtrees_removed, report.rows_removed) == (2, 0, 2, 2)
     assert reconcile.forget(own, 0).count() == 0
+    twice = own.unionByName(table(spark, row("/d/a", source=1)))
+    assert reconcile.apply_report(twice, batch).first().rows_removed == 2
 
 
 def test_sweep_spares_what_was_not_seen(spark):
@@ -101,8 +104,20 @@ def test_stream_applies_each_batch_once(spark, tmp_path):
     t.maintain(segments=1)
     assert t.layers() == (2, []) and sorted(t.read().collect()) == before and not t.maintain()
     assert {r.path: r.size for r in t.read().collect()} == {"/d/a": 3, "/k": 10, "/n": 4}
+    spark.createDataFrame([change(4, "upsert", "/late", 6)], CHANGES).coalesce(1).write.mode("append").parquet(f"{where}/feed")
+    feed.apply_stream(stream, VersionedTable(spark, f"{where}/t"), f"{where}/c").awaitTermination()
+    assert t.revision() == 3 and t.read().count() == 4  # a restart goes on where the batches' numbers do
     t.compact()
-    assert t.revisions() == [2] and t.read().count() == 3
+    assert t.revisions() == [3] and t.read().count() == 4
+
+
+def test_compaction_keeps_rows(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    t.publish(table(spark, row("/d/a"), row("/k")))
+    t.append(spark.createDataFrame([change(2, "upsert", "/n", 4)], CHANGES))
+    t.maintain(segments=0)
+    t.compact()
+    assert t.revisions() == [1] and t.read().count() == 3
 
 
 def test_debounce(spark):
@@ -132,6 +147,11 @@ def test_walk(spark, tmp_path):
     load = lambda **o: spark.read.format("filetree").options(path=str(tmp_path), exclude="skip", **o).load()
     got = {r.path.removeprefix(str(tmp_path)): (r.is_dir, r.size) for r in load().collect()}
     assert got == {"": (True, 0), "/a": (True, 0), "/a/x.txt": (False, 5), "/a/deep": (True, 0), "/a/deep/y.rs": (False, 5), "/b": (True, 0), "/b/.hid": (False, 5), "/top": (False, 5)}
+    os.symlink(tmp_path / "a", tmp_path / "a" / "deep" / "up")
+    linked = {r.path.removeprefix(str(tmp_path)) for r in load(follow="true").collect()}
+    assert linked == set(got)
+    ruled = load(rules=json.dumps({"dirs": ["deep", "b"], "files": ["TOP"], "paths": [], "allow": [f"{tmp_path}/a/deep/up"]}))
+    assert {r.path.removeprefix(str(tmp_path)) for r in ruled.collect()} == {"", "/a", "/a/x.txt", "/a/deep/up"}
     assert {r.size for r in load(metadata="false", hidden="false").collect()} == {0} and load(hidden="false").filter("path like '%hid'").count() == 0
 
 
@@ -149,11 +169,20 @@ def test_grep(spark):
     assert [r.path for r in got] == ["/a"] and got[0].more and [(h.line, h.at, h.length) for h in got[0].hits] == [(2, 0, 7), (3, 80, 7), (4, 0, 7)]
     assert got[0].hits[1].offset == text.encode().index(b" license y") + 1 and len(got[0].hits[1].excerpt) == 160
     assert content.grep_hits(contents, content.pattern_of("license"), include_binary=True).count() == 2
-    assert content.grep_hits(contents, content.pattern_of("6c 69", "hex")).count() == 1 and content.grep_hits(contents, content.pattern_of("^lic", "regex", exact=True)).count() == 1
+    assert content.grep_hits(contents, content.pattern_of("6c 69", "hex"), kind="hex").count() == 1 and content.grep_hits(contents, content.pattern_of("^lic", "regex", exact=True)).count() == 1
     raw = spark.createDataFrame([(bytearray("\ufefflicense".encode("utf-16-le")),), (bytearray("\ufefflicense".encode("utf-16-be")),), (bytearray(b"license"),)], "b binary")
     assert {r.t for r in raw.select(content.decoded(F.col("b")).alias("t")).collect()} == {"license"}
 
 
+def test_grep_in_bytes(spark):
+    files = [("/jpg", b"\xff\xd8\xff\xe0\n\0ab\xff\xd8\xff"), ("/16", "\ufeffno\nlicense".encode("utf-16-le")), ("/8", "é license".encode()), ("/odd", b"\xff\xfea"), ("/bad", b"\xc3( license")]
+    contents = spark.createDataFrame([(0, p, bytearray(b)) for p, b in files], "source int, path string, content binary")
+    got = content.grep_hits(contents, content.pattern_of("FF d8 0xff", "hex"), include_binary=True, kind="hex").collect()
+    assert [(r.path, [(h.line, h.offset, h.length) for h in r.hits]) for r in got] == [("/jpg", [(1, 0, 3), (2, 8, 3)])]
+    text = {r.path: r.hits[0].offset for r in content.grep_hits(contents, content.pattern_of("license")).collect()}
+    assert text == {"/16": 3, "/8": 3, "/bad": 5}
+
+
 def test_duplicates(spark):
     own = derive(table(spark, *[row(f"/{n}", s) for n, s in (("a", 9), ("b", 9), ("c", 9), ("d", 4), ("e", 9))]))
     contents = spark.createDataFrame([(0, "/a", "x" * 9), (0, "/b", "x" * 9), (0, "/c", "x" * 4 + "y" + "x" * 4), (0, "/d", "zzzz"), (0, "/e", "x" * 9)], "source int, path string, content string")

@@ -82,7 +82,7 @@ def test_distance(term, name, want):
 
 
 def test_folding_columns_agree_with_python(spark):
-    samples = [*WORDS, "ÀÉÎõü ŁØÐþ ǅ", "á̂b̧", "שָׁלוֹם", "مُحَمَّد", "İıIi", "Straße ﬀ", "\U0001f600 Ａ１"]
+    samples = [*WORDS, "ÀÉÎõü ŁØÐþ ǅ", "á̂b̧", "שָׁלוֹם", "مُحَمَّد", "İıIi", "Straße ﬀ", "ΟΔΟΣ ΑΒ", "ΣΑΣ", "ς", "\U0001f600 Ａ１"]
     df = spark.createDataFrame([(s,) for s in samples], "s string")
     for r in df.select("s", text.fold_column(df.s).alias("f"), text.unaccent_column(df.s).alias("u")).collect():
         assert (r.f, r.u) == (text.fold(r.s), text.unaccent(r.s)), r.s
@@ -96,7 +96,15 @@ def test_plans_prune(spark, entries, tmp_path):
     own = Engine(read_segments(spark, str(tmp_path / "t")), Context(NOW))
     plan = own.where("under:/a size:>1mb dm:>1d").select("path")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(path,/a/)" in plan and "GreaterThan(size" in plan and "GreaterThan(mtime" in plan
-    assert "ReadSchema: struct<path:string,is_dir:boolean,size:bigint,mtime:bigint>" in plan  # the lookup of kinds reads is_dir
+    assert "ReadSchema: struct<path:string,size:bigint,mtime:bigint>" in plan
+    plan = own.where("bolt ext:pdf;rs kind:code parent:/a *.rs depth:4").select("path")._jdf.queryExecution().executedPlan().toString()
+    for pushed in ("StringContains(bare,bolt)", "In(ext, [pdf,rs])", "EqualTo(kind,2)", "EqualTo(parent,/a)", "StringEndsWith(bare,.rs)", "EqualTo(depth,4)"):
+        assert pushed in plan, pushed
+    assert "Join" not in plan and "translate" not in plan
+    (tmp_path / "t" / "_format-2").rename(tmp_path / "t" / "_format-1")
+    for bad in (lambda: read_segments(spark, str(tmp_path / "t")), lambda: write_segment(entries, str(tmp_path / "t"))):
+        with pytest.raises(ValueError, match="format"):
+            bad()
     assert "TakeOrderedAndProject" in own.rows("bolt", "modified")._jdf.queryExecution().executedPlan().toString()
 
 
