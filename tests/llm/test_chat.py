@@ -35,17 +35,65 @@ def test_round_trip(spark):
     check(spark, rows)
 
 
+def cost(text):
+    return -(-len(text) // 4) + 4
+
+
+def plain_windows(turns, budget, most_turns, most_tokens):
+    """Own and repeated turns of each window, by a loop."""
+    kept = bool(turns) and turns[0][0] == "system" and cost(turns[0][1]) <= budget // 2
+    taken = cost(turns[0][1]) if kept else 0
+    rest, out, used = turns[kept:], [], 0
+    for i, (_, text) in enumerate(rest):
+        load = cost(text)
+        if out and used + load <= budget:
+            out[-1][1].append(i)
+            used += load
+            continue
+        again: list = []
+        for j in range(i - 1, max(-1, i - 1 - most_turns), -1):
+            more = sum(cost(rest[k][1]) for k in [*again, j])
+            if more > most_tokens or taken + load + more > budget:
+                break
+            again.insert(0, j)
+        out.append((again, [i]))
+        used = taken + load + sum(cost(rest[k][1]) for k in again)
+    return [([turns[0]] if kept else [], [rest[i] for i in a], [rest[i] for i in o]) for a, o in out]
+
+
 def test_windows(spark):
-    rows = [(1, 0, "system", "Be short.")] + [(1, i, "assistant" if i % 2 == 0 else "user", f"turn {i} " + "word " * 12) for i in range(1, 60)]
-    windows = sorted(check(spark, rows, budget=120, history_turns=2, history_tokens=40), key=lambda w: w.window)
-    assert len(windows) > 5
-    for k, w in enumerate(windows):
-        assert ("<again:system>" if k else "<turn:system>") in w.formatted
-        assert w.formatted.count("<again:") == (3 if k else 0)
-        own = sum(len(x) // 4 + 1 for x in w.formatted.split(END) if x.startswith("<turn:"))
-        assert own <= 140
-        for s in w.loss:
-            assert w.formatted[: s.start].endswith("<turn:assistant>\n") and w.formatted[s.end :].startswith(END)
+    rows = [(1, 0, "system", "Be short.")] + [(1, i, "assistant" if i % 2 == 0 else "user", f"turn {i} " + "word " * (i * 7 % 23)) for i in range(1, 90)]
+    rows += [(2, i, "user", "x" * (i * 37 % 900)) for i in range(40)] + [(3, 0, "system", "long " * 60), (3, 1, "user", "hi"), (4, 0, "system", "alone")]
+    for budget, most_turns, most_tokens in ((120, 2, 40), (120, 0, 40), (60, 5, 1000), (1, 1, 1)):
+        by = defaultdict(list)
+        for w in check(spark, rows, budget=budget, history_turns=most_turns, history_tokens=most_tokens):
+            by[w.conv_id].append(w)
+        for c, turns in plain(rows).items():
+            want = plain_windows(turns, budget, most_turns, most_tokens) or [(turns, [], [])]
+            got = sorted(by[c], key=lambda w: w.window)
+            if sum(cost(t) for _, t in turns) < 64 * budget:
+                assert len(got) == len(want)
+                for k, (w, (top, again, own)) in enumerate(zip(got, want, strict=True)):
+                    marked = [("turn" if k == 0 else "again", t) for t in top] + [("again", t) for t in again] + [("turn", t) for t in own]
+                    assert w.formatted == "".join(f"<{m}:{r}>\n{t}{END}" for m, (r, t) in marked)
+            for w in got:
+                pieces = [x.split(">\n", 1) for x in w.formatted.split(END)[:-1]]
+                total = sum(cost(t) for _, t in pieces)
+                assert total <= budget or sum(m.startswith("<turn:") and m != "<turn:system" for m, _ in pieces) <= 1 >= sum(m.startswith("<again:") for m, _ in pieces)
+                for s in w.loss:
+                    assert w.formatted[: s.start].endswith("<turn:assistant>\n") and w.formatted[s.end :].startswith(END)
+
+
+def test_stretches_and_given_tokens(spark):
+    """A long conversation goes in stretches; each window keeps to the budget by the tokens that a column names."""
+    rows = [(1, 0, "system", "s")] + [(1, i, "assistant" if i % 2 == 0 else "user", f"t{i}") for i in range(1, 3000)]
+    df = spark.createDataFrame([(*r, 10) for r in rows], "conv_id long, turn long, role string, text string, load int")
+    windows = sorted(format_conversations(df, budget=50, history_turns=2, history_tokens=20, tokens="load").collect(), key=lambda w: w.window)
+    assert all(w.formatted.count(END) <= 5 for w in windows) and len({w.window for w in windows}) == len(windows)
+    assert sum(w.formatted.count(END) == 5 for w in windows) >= 0.95 * len(windows)
+    assert all(w.formatted.count("<again:") == 3 for w in windows[1:])
+    (got,) = read_back(spark.createDataFrame(windows)).collect()
+    assert [(t.role, t.text) for t in got.turns] == [(r, t) for _, _, r, t in rows]
 
 
 def test_query_and_empty(spark):
