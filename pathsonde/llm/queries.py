@@ -32,9 +32,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(pii.of_kind(F.col("spans"), k)).cast("long").alias(f"n_{k}")
     return out.select(
         "doc_id",
-        *[count(k) for k in pii.PATTERNS],
+        *[count(k) for k in pii.BASE],
         F.sha2(pii.listing(base), 256).alias("base_sha256"),
         pii.listing(F.col("spans")).alias("spans"),
+        count("secret"),
+        count("generalise"),
+        count("remove"),
+        F.size(F.filter("spans", lambda s: s["kind"].isin(*pii.PATTERNS))).cast("long").alias("n_personal"),
     )
 
 

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
 from collections import defaultdict
 
-from pathsonde.llm.pii import KINDS, REACH, disclosing_terms, find_spans, sanitise
+from pathsonde.llm import queries
+from pathsonde.llm.pii import KINDS, disclosing_terms, find_spans, sanitise
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -30,6 +32,17 @@ def plain(text):
     return out
 
 
+def secrets(text):
+    """Long mixed runs outside of other spans."""
+    taken = [(a, b) for _, a, b in plain(text)]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9]{16,}", text or ""):
+        mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and len(set(m[0])) >= 8
+        if mixed:
+            out.append(("secret", m.start(), m.end(), all(b <= m.start() or a >= m.end() for a, b in taken)))
+    return out
+
+
 def base(r):
     return [(s.kind, s.start, s.end) for s in r.spans if s.kind in PATTERNS]
 
@@ -55,25 +68,41 @@ def test_documents(spark):
     assert {r.doc_id: base(r) for r in find_spans(df).collect()} == want and sum(map(bool, want.values())) > 20
 
 
-def brute_terms(texts, min_texts, low=0.95):
+def entities(text):
+    """Names of values, parts and kinds, and the text without values."""
+    found = [*plain(text), *(x[:3] for x in secrets(text))]
+    names, kinds = set(), {k for k, _, _ in found}
+    for kind, a, b in found:
+        v = text[a:b]
+        v = re.sub("[^0-9]", "", v) if kind in ("card", "phone") else v if kind == "secret" else v.lower()
+        names.add((kind, v))
+        if kind != "secret":
+            names.add((kind + "~", {"email": v.split("@")[-1], "ip": ".".join(v.split(".")[:2]), "card": v[:6], "phone": v[:5]}[kind]))
+    left, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in found):
+        left.append(text[at : max(a, at)])
+        at = max(at, b)
+    return names, kinds, " ".join([*left, text[at:]])
+
+
+def brute_terms(texts, min_texts=3, evidence=24.0, low=0.95):
     words = lambda t: {w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 4}
-    holders, near, df = defaultdict(set), defaultdict(set), defaultdict(set)
+    holders, both, df, marks = defaultdict(set), defaultdict(set), defaultdict(set), {}
     for i, t in enumerate(texts):
+        names, kinds, rest = entities(t)
+        marks[i] = frozenset(names)
         for w in words(t):
             df[w].add(i)
-        for kind, a, b in plain(t):
-            e = kind + (re.sub("[^0-9]", "", t[a:b]) if kind in ("card", "phone") else t[a:b].lower())
+        for e in (*names, *((k, None) for k in kinds)):
             holders[e].add(i)
-            left, right = t[max(0, a - REACH) : a], t[b : b + REACH]
-            left = re.sub(r"^\S+", "", left) if a > REACH else left
-            right = re.sub(r"\S+$", "", right) if b + REACH < len(t) else right
-            for w in words(left + " " + right):
-                near[e, w].add(i)
+            for w in words(rest):
+                both[e, w].add(i)
     best, n = {}, len(texts)
-    for (e, w), both in near.items():
-        if len({texts[i] for i in both}) >= min_texts and len(holders[e]) < n:
-            share = math.log2(n * len(both) / (len(df[w]) * len(holders[e]))) / math.log2(n / len(holders[e]))
-            best[w] = max(best.get(w, 0), share)
+    for (e, w), rows in both.items():
+        distinct, one = len({texts[i] for i in rows}), not e[0].endswith("~") and e[1] is not None
+        rarity = math.log2(n / len(holders[e]))
+        if distinct >= min_texts and rarity > 0 and distinct * rarity >= evidence and (one or len({marks[i] for i in rows}) > 1):
+            best[w] = max(best.get(w, 0), math.log2(n * len(rows) / (len(df[w]) * len(holders[e]))) / rarity)
     return {w: ("remove" if s >= 0.999 else "generalise") for w, s in best.items() if s >= low}
 
 
@@ -91,7 +120,7 @@ def test_terms(spark):
     texts = corpus()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[-6:-1])], "doc_id long, text string")
     got = {r.term: r.action for r in disclosing_terms(df).collect()}
-    assert got == brute_terms(texts + texts[-6:-1], 3)
+    assert got == brute_terms(texts + texts[-6:-1])
     assert got["zarquon"] == "remove" and got["blorbville"] == "generalise" and "stone" not in got
     out = sanitise(find_spans(df)).collect()
     assert all(x not in r.text for r in out for x in ("Zarquon", "zed@", "Blorbville"))
@@ -102,8 +131,49 @@ def test_terms(spark):
 
 def test_documents_terms(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    got = {r.term: r.action for r in disclosing_terms(df, min_texts=1, generalise_at=0.9).collect()}
-    assert got == brute_terms([r.text for r in df.collect()], 1, 0.9) and got
+    texts = [r.text for r in df.collect()]
+    got = {r.term: r.action for r in disclosing_terms(df, min_texts=1, evidence=1.0, generalise_at=0.9).collect()}
+    assert got == brute_terms(texts, 1, 1.0, 0.9) and got
+    assert {r.term: r.action for r in disclosing_terms(df).collect()} == brute_terms(texts)
+
+
+def test_kinds_and_parts_disclose(spark):
+    """The words that announce a secret, and the word of a domain, stand beside values that never recur."""
+    rng = random.Random(3)
+    filler = lambda: " ".join(rng.choices(["river", "stone", "cloud", "table", "window"], k=40))
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    texts = [filler() for _ in range(300)]
+    texts += [f'{filler()} token = "{key()}" {filler()}' for _ in range(12)] + [f"{filler()} token of thanks"]
+    texts += [f"Zarquon {filler()} user{i}@zed.example.org" for i in range(8)] + ["copy wordlike " + filler() + " one@x.yz"] * 9
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = {r.term: r.action for r in disclosing_terms(df).collect()}
+    assert terms == brute_terms(texts) == {"token": "generalise", "zarquon": "remove"}
+    out = {r.doc_id: r.text for r in sanitise(find_spans(df)).collect()}
+    assert all("[secret]" in out[i] and "token" not in out[i] for i in range(300, 312)) and all(out[i] == texts[i] for i in range(300))
+
+
+def test_many_hits_are_placed(spark):
+    texts = ["a@b.cd x " * n for n in (127, 128, 129, 3000)]
+    got = {r.doc_id: base(r) for r in find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_query(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    terms = brute_terms([r.text for r in rows])
+    got = {r.doc_id: r for r in queries.op2_pii(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        own, text = plain(r.text), r.text or ""
+        found = own + [x[:3] for x in secrets(text) if x[3]]
+        words = [(terms[m[0].lower()], m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text) if m[0].lower() in terms]
+        clear = [w for w in words if all(b <= w[1] or a >= w[2] for _, a, b in found)]
+        spans = sorted(found + clear, key=lambda s: (KINDS.index(s[0]), s[1]))
+        text_of = lambda ss: ",".join(f"{k}:{a}:{b}" for k, a, b in ss)
+        g = got[r.doc_id]
+        assert g.spans == text_of(spans) and g.base_sha256 == hashlib.sha256(text_of(own).encode()).hexdigest()
+        assert [g[f"n_{k}"] for k in PATTERNS] == [sum(s[0] == k for s in own) for k in PATTERNS]
+        assert g.n_personal == len(found) and g.n_secret == len(found) - len(own)
 
 
 def test_sanitise_and_empty(spark):
