@@ -30,7 +30,7 @@ KINDS = (*PATTERNS, "generalise", "remove")
 #: Different characters of a secret, at least.
 SECRET_CHARS = 8
 #: Distinct texts in which term and entity meet at least; bits of surprise that the texts of a term make up if it were independent; shares of the entity's information.
-MIN_TEXTS, EVIDENCE, GENERALISE_AT, REMOVE_AT = 3, 24.0, 0.95, 0.999
+MIN_TEXTS, EVIDENCE, GENERALISE_AT, REMOVE_AT = 3, 16.0, 0.95, 0.999
 MIN_LETTERS = 4
 LABELS = {"email": "[email]", "ip": "[ip]", "card": "[card]", "phone": "[phone]", "secret": "[secret]", "generalise": "[term]", "remove": ""}
 #: Bytes of terms that may be sent to every task.

@@ -85,7 +85,7 @@ def entities(text):
     return names, kinds, " ".join([*left, text[at:]])
 
 
-def brute_terms(texts, min_texts=3, evidence=24.0, low=0.95):
+def brute_terms(texts, min_texts=3, evidence=16.0, low=0.95):
     words = lambda t: {w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 4}
     holders, both, df, marks = defaultdict(set), defaultdict(set), defaultdict(set), {}
     for i, t in enumerate(texts):
