@@ -141,7 +141,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _mapped(df: DataFrame, column: str, out: str, method: Callable[[], Callable], drop: tuple[str, ...]) -> DataFrame:
-    kept = [c for c in df.columns if c not in drop and c != out]
+    kept = [c for c in df.columns if c not in drop and c.lower() != out.lower()]
     schema = df.select(*kept).schema.add(out, "binary")
     at = df.columns.index(column)
 

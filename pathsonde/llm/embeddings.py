@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathsonde.llm.common import cut
+from pathsonde.llm.common import cut, release
 from pathsonde.llm.components import connected_components
-from pathsonde.llm.hnsw import Graph
+from pathsonde.llm.hnsw import M0, Graph
 
-#: Shards at least, vectors of a shard at most, and tasks among which a shard's queries are dealt.
-SHARDS, SHARD_ROWS, SLICES = 8, 250_000, 3
+#: Shards at least, and the bytes of a shard's graph and vectors at most; slices of a shard's queries at least, and queries of a slice at most.
+SHARDS, SHARD_BYTES, SLICES, SLICE_ROWS = 8, 256_000_000, 3, 20_000
 #: Beam to begin with; recall that audits ask for; queries audited of each batch; queries of a batch.
 EF, RECALL, AUDITED, BATCH = 48, 0.999, 24, 1024
 #: Room for rounding in single precision; what lies in it is decided in double.
@@ -157,7 +157,7 @@ def embedding_components(df: DataFrame, key: str = "vec_id", vector: str = "embe
     vectors of different lengths. Equal vectors are searched once and counted as often as they occur.
     Null keys never name a component unless all its keys are null. Other columns are not read. An empty table gives no rows.
 
-    Each shard of at most SHARD_ROWS vectors has a graph; every distinct vector queries the graphs of all
+    Each shard of at most about SHARD_BYTES has a graph; every distinct vector queries the graphs of all
     shards. A beam half full of links is widened; queries of every batch are audited against a scan
     of the shard, and the beam widens until they pass. Pairs are never listed: a search returns
     counts and, for each slice of queries, edges in proportion to its vectors.
@@ -169,15 +169,15 @@ def embedding_components(df: DataFrame, key: str = "vec_id", vector: str = "embe
     hashed = lambda d: d.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(5), "v")})
     distinct = hashed(rows.filter("fine")).groupBy("k1", "k2").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("least"))
     distinct = cut(distinct.withColumn("uid", F.monotonically_increasing_id()))
-    total = distinct.count()
-    shards = max(1, shards, math.ceil(total / SHARD_ROWS))
+    total, held = distinct.agg(F.count(F.lit(1)), F.sum(12 * F.size("v").cast("long") + 8 * M0)).first()
+    shards, parts = max(1, shards, math.ceil((held or 0) / SHARD_BYTES)), max(SLICES, math.ceil(total / SLICE_ROWS))
     vectors = distinct.withColumns({"dim": F.size("v"), "shard": F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")})
     graphs = cut(_graphs(vectors.select("dim", "shard", "uid", "copies", "v")))
 
-    slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
+    slices = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     indexes = graphs.select("dim", "shard", slices.alias("slice"), F.lit(None).cast("long").alias("uid"), F.lit(None).cast("array<double>").alias("v"), "data")
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asked = vectors.select("dim", every.alias("shard"), F.pmod(F.xxhash64(F.lit(9), "uid"), F.lit(SLICES)).cast("int").alias("slice"), "uid", "v", F.lit(None).cast("binary").alias("data"))
+    asked = vectors.select("dim", every.alias("shard"), F.pmod(F.xxhash64(F.lit(9), "uid"), F.lit(parts)).cast("int").alias("slice"), "uid", "v", F.lit(None).cast("binary").alias("data"))
     asked = asked.join(graphs.select("dim", "shard"), ["dim", "shard"], "left_semi").select(*indexes.columns)
     dealt = indexes.unionByName(asked).repartition("dim", "shard", "slice").sortWithinPartitions("dim", "shard", "slice", F.col("data").isNull(), "uid")
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "n", "b")])
@@ -188,12 +188,13 @@ def embedding_components(df: DataFrame, key: str = "vec_id", vector: str = "embe
     named = distinct.select("uid", "k1", "k2", "copies", "least").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     own = named.join(least, "root").join(counts, "uid", "left")
-    own = own.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component")
-    keyed = hashed(rows).select("key", "fine", F.when(F.col("fine"), F.col("k1")).alias("k1"), F.when(F.col("fine"), F.col("k2")).alias("k2"))
-    out = keyed.join(own, ["k1", "k2"], "left").withColumn("component", F.when(F.col("fine"), F.col("component")).otherwise(F.col("key")))
+    own = cut(own.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component"))
+    release(graphs, found)
+    usable = hashed(rows.filter("fine")).select("key", "k1", "k2").join(own, ["k1", "k2"]).select("key", "n_links", "component")
+    out = usable.unionByName(rows.filter("not fine").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component")))
     return out.select(
         F.col("key").alias(key),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("n_links").cast("long").alias("n_links"),
         F.col("component").alias("component_id"),
         F.col("key").eqNullSafe(F.col("component")).alias("kept"),
     )

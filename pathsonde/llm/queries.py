@@ -125,5 +125,12 @@ LINE_DEDUP_SQL = """WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), c
   m AS (SELECT k.doc_id, i, line, keeper IS NOT NULL AND keeper <> k.doc_id AS gone FROM k LEFT JOIN g ON g.key = k.key)
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
 
-#: The others cannot be written in SQL; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP_SQL}
+EMBEDDINGS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  fine AS MATERIALIZED (SELECT vec_id, list_filter(e, lambda x: x IS NOT NULL AND isfinite(x)) AS e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+  links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+  reach AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT l.w, r.c FROM reach r JOIN links l ON l.u = r.vec_id),
+  n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+  SELECT vec_id, coalesce(any_value(n.n), 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM reach LEFT JOIN n ON n.u = vec_id GROUP BY vec_id"""
+
+#: The others have models, hashes, formats or counts of windows that SQL has no words for; tests/llm/test_queries.py holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": LINE_DEDUP_SQL, "op8_embeddings": EMBEDDINGS_SQL}

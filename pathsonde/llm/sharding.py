@@ -74,7 +74,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 24, seed: int = 20240, stab
 
     The rows are written once to the shared folder, with their place and their rank in it, so that no
     later job depends on how Spark splits files; ``stable`` makes no difference any more. The driver
-    gets one count for each partition. Full rows are exchanged once.
+    gets one count for each partition, and draws one number for each partition and shard in a loop. Full rows are exchanged once.
     """
     rows = df.drop(*[c for c in df.columns if c.lower() in (shard.lower(), slot.lower())])
     spark, width = df.sparkSession, 33

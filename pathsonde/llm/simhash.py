@@ -90,8 +90,8 @@ def covering_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     Their components are exactly those of all such pairs. In buckets of up to PAIRS_UP_TO members all pairs
     are compared. The members of larger buckets are linked through midpoints, which takes rows in
     proportion to the members: two fingerprints are within 2 bits just when both are within one
-    bit of some third word, and at most 65 fingerprints are within one bit of a word. Radii other
-    than 2 compare the pairs of the larger buckets in blocks of members.
+    bit of some third word, and at most 65 fingerprints are within one bit of a word. Other radii
+    compare all pairs of a bucket in one join, which is quadratic in hot buckets.
     """
     tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(_lit(m)).alias("key")) for k, m in enumerate(covering_masks(radius))])
     rows = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
@@ -139,7 +139,7 @@ def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     grouped = rooted.unionByName(tops)
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = grouped.join(least, "root").select("fp", F.col("component_id").alias("c"))
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("c", "rep").alias("component_id"))
+    named = cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("c", "rep").alias("component_id")))  # so that Spark may split a hot fingerprint
     out = own.join(named, "fp").select(F.col("key"), "fp", "component_id")
     return out.withColumnRenamed("key", key)
 

@@ -74,7 +74,7 @@ def test_packing(stages):
 
 def test_odd_rows_pass_through_every_stage(spark, tmp_path):
     rows = [(None, None, None, None, None, 1), (3, "", "en", "s", 0, 2), (3, "", "en", "s", 0, 2), (4, "call +1 (386) 555-3733 " * 3000, None, "s", 5, 3), (None, "x@y.zz", "en", None, 6, 4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _h int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _score int")
     for frame in (docs, docs.limit(0)):
         for _, stage in pipe.STAGES[:-1]:
             out = stage(spark, frame, SF)
