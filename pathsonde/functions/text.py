@@ -56,6 +56,20 @@ def unaccent_folded(s: str) -> str:
     return "".join(known.get(c, c) for c in s if not is_mark(c))
 
 
+def matches_at(s: str, term: str) -> list[tuple[int, int]]:
+    """Where a folded term stands in ``s`` (start and end in characters of ``s``), marks counting only if the term has any.
+
+    Each character is folded by itself, so a find reaches from the character of its first part to the one of its last.
+    """
+    plain = fold if is_marked(term) else unaccent
+    parts = [(i, part) for i, c in enumerate(s) for part in plain(c)]
+    whole, out, at = "".join(p for _, p in parts), [], 0
+    while term and (at := whole.find(term, at)) >= 0:
+        out.append((parts[at][0], parts[at + len(term) - 1][0] + 1))
+        at += len(term)
+    return out
+
+
 def unaccent(s: str) -> str:
     return unaccent_folded(fold(s))
 

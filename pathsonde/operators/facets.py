@@ -53,9 +53,14 @@ def facets(rows: DataFrame, questions: list[str], now: int, top: int = 20, cap:
     pairs = F.array(*[F.struct(F.lit(q).alias("question"), question(q, now).alias("key")) for q in questions])
     each = some.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("key").isNotNull())
     counted = each.groupBy("question", "key").agg(F.count(F.lit(1)).alias("count"))
-    limit = F.when(F.col("question") == "kind", KINDS_SHOWN).when(F.col("question").startswith("age:"), 1 << 30).otherwise(top)
+    ages = counted.filter(F.col("question").startswith("age:"))
+    if all(q.startswith("age:") for q in questions):
+        return ages
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("count"), "key"))
-    return counted.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+    ranked = counted.filter(~F.col("question").startswith("age:")).withColumn("place", place)
+    ranked = ranked.filter(F.col("place") <= max(top, KINDS_SHOWN))  # a constant, so that each task ranks and cuts before the exchange
+    ranked = ranked.filter(F.col("place") <= F.when(F.col("question") == "kind", KINDS_SHOWN).otherwise(top)).drop("place")
+    return ranked.unionByName(ages) if any(q.startswith("age:") for q in questions) else ranked
 
 
 def sideways(engine: Engine, text: str, edges: list[int]) -> DataFrame:

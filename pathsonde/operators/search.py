@@ -55,7 +55,11 @@ def relevance(query: ast.Query) -> Column:
 KEY = "_key"
 
 
-def keyed(rows: DataFrame, sort: str, query: ast.Query) -> DataFrame:
+def keyed(rows: DataFrame, sort: str, query: ast.Query, weights: DataFrame | None = None) -> DataFrame:
+    """Rows with their primary key; with ``weights(path, disk)`` the size of a folder is the disk space under it."""
+    if sort == "size" and weights is not None:
+        own = F.when(F.col("is_dir"), F.coalesce(F.col("_under"), F.lit(0))).otherwise(F.col("size"))
+        return rows.join(weights.select("path", F.col("disk").alias("_under")), "path", "left").withColumn(KEY, own).select(*rows.columns, KEY)
     return rows.withColumn(KEY, relevance(query) if sort == "relevance" else F.col(COLUMNS[sort]))
 
 
@@ -75,10 +79,10 @@ class Page:
 
 
 class Engine:
-    """Queries over one version of the derived entries."""
+    """Queries over one version of the derived entries; ``weights``, as of ``usage.subtree_sizes``, order folders by what they hold."""
 
-    def __init__(self, entries: DataFrame, context: fields.Context, exact_accents: bool = False, typos: str = "suggest") -> None:
-        self.entries, self.context, self.exact_accents, self.typos = entries, context, exact_accents, typos
+    def __init__(self, entries: DataFrame, context: fields.Context, exact_accents: bool = False, typos: str = "suggest", weights: DataFrame | None = None) -> None:
+        self.entries, self.context, self.exact_accents, self.typos, self.weights = entries, context, exact_accents, typos, weights
 
     def parse(self, text: str) -> ast.Query:
         query = parser.parse(text, self.context, self.exact_accents)
@@ -93,7 +97,7 @@ class Engine:
         """A page of matching rows; Spark keeps only its rows while it sorts."""
         query = self.parse(text)
         down = sort in DESCENDING_FIRST if descending is None else descending
-        return keyed(self.where(query), sort, query).orderBy(*order(down)).offset(offset).limit(min(limit, PAGE_MOST)).drop(KEY)
+        return keyed(self.where(query), sort, query, self.weights).orderBy(*order(down)).offset(offset).limit(min(limit, PAGE_MOST)).drop(KEY)
 
     def after(self, text: str, last: dict, sort: str, descending: bool, limit: int = PAGE) -> DataFrame:
         """The page behind the row ``last``: a filter on the keys, which does not get slower as pages go on."""
@@ -101,7 +105,7 @@ class Engine:
         value, key = last["relevance" if sort == "relevance" else COLUMNS[sort]], F.col(KEY)
         beyond = key < F.lit(value) if descending else key > F.lit(value)
         tied = (key == F.lit(value)) & ((F.col("mtime") < last["mtime"]) | ((F.col("mtime") == last["mtime"]) & (F.col("path") > last["path"])))
-        return keyed(self.where(query), sort, query).filter(beyond | tied).orderBy(*order(descending)).limit(min(limit, PAGE_MOST)).drop(KEY)
+        return keyed(self.where(query), sort, query, self.weights).filter(beyond | tied).orderBy(*order(descending)).limit(min(limit, PAGE_MOST)).drop(KEY)
 
     def count(self, text: str, cap: int = COUNT_CAP) -> DataFrame:
         """One row ``(total, capped)``; counting stops at the cap."""

@@ -53,7 +53,7 @@ def usage_children(rows: DataFrame, scope: str, now: int, top: int = TOP) -> Dat
     first = F.concat(F.lit(scope + "/"), F.substring_index(rest, "/", 1))
     below = charged(inside, now).filter(F.col("parent").startswith(scope + "/") & (rest != "")).withColumn("child", first)
     grouped = below.groupBy("child").agg(*_totals()).withColumnRenamed("child", "path")
-    counted = grouped.withColumn("child_count", F.count(F.lit(1)).over(Window.partitionBy()))
+    counted = grouped.crossJoin(F.broadcast(grouped.agg(F.count(F.lit(1)).alias("child_count"))))  # one row
     return counted.orderBy(F.desc("bytes"), "path").limit(max(top, 1))
 
 
@@ -82,14 +82,13 @@ def tree(rows: DataFrame, folder: str, depth: int = 1, limit: int = TREE_ROWS, d
     """``(path, level, is_dir, size, mtime, children, truncated)`` of what lies up to ``depth`` below ``folder``.
 
     Of each folder the first ``limit`` names are listed, by name without marks, folders before files
-    among them; what lies under a folder that was cut off is not listed.
+    among them; what lies under a folder that was cut off is not listed. Only the listed folders' entries are counted.
     """
     folder = folder.rstrip("/")
     base = folder.count("/")
     inside = rows.filter(paths.under(F.col("path"), folder) & (F.col("depth") <= base + depth))
     if dirs_only:
         inside = inside.filter("is_dir")
-    counts = children_count(rows.filter("is_dir") if dirs_only else rows).withColumnRenamed("parent", "path")
     w = Window.partitionBy("parent").orderBy("bare", "path")
     placed = inside.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
     shown = placed.select("path", "parent", "bare", "is_dir", "size", "mtime", (F.col("depth") - base).cast("int").alias("level"))
@@ -97,5 +96,8 @@ def tree(rows: DataFrame, folder: str, depth: int = 1, limit: int = TREE_ROWS, d
     for level in range(2, depth + 1):
         parents = listed.filter((F.col("level") == level - 1) & F.col("is_dir")).select(F.col("path").alias("parent"))
         listed = listed.unionByName(shown.filter(F.col("level") == level).join(parents, "parent", "left_semi").select(*listed.columns))
+    folders = listed.filter("is_dir").select(F.col("path").alias("parent"))
+    inner = rows.filter("is_dir") if dirs_only else rows
+    counts = children_count(inner.select("parent").join(folders, "parent", "left_semi")).withColumnRenamed("parent", "path")
     out = listed.join(counts, "path", "left").withColumn("children", F.when(F.col("is_dir"), F.coalesce("children", F.lit(0))))
     return out.withColumn("truncated", F.coalesce(F.col("children") > limit, F.lit(False))).orderBy("level", "parent", F.desc("is_dir"), "bare", "path").drop("bare")

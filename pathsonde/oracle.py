@@ -245,6 +245,10 @@ ORACLE["subtree_sizes"] = f"""{ENTRIES}, up AS (SELECT *, unnest(range(2, len(st
 ORACLE["folder_weight"] = f"""{ENTRIES}, up AS (SELECT *, unnest(range(2, len(string_split(path, '/')))) AS i FROM entries WHERE NOT is_dir),
   sizes AS (SELECT array_to_string(string_split(path, '/')[1:i], '/') AS path, CAST(sum(disk // links) AS BIGINT) AS d, count(*) AS n FROM up GROUP BY ALL)
   SELECT e.source, e.path, CASE WHEN is_dir THEN coalesce(d, 0) END AS under_disk, CASE WHEN is_dir THEN coalesce(n, 0) END AS under_files FROM entries e LEFT JOIN sizes s ON s.path = e.path"""
+ORACLE["sort_size_rollup"] = f"""{ENTRIES}, up AS (SELECT *, unnest(range(2, len(string_split(path, '/')))) AS i FROM entries WHERE NOT is_dir),
+  sizes AS (SELECT array_to_string(string_split(path, '/')[1:i], '/') AS path, CAST(sum(disk // links) AS BIGINT) AS d FROM up GROUP BY ALL)
+  SELECT CAST(row_number() OVER (ORDER BY CASE WHEN is_dir THEN coalesce(d, 0) ELSE e.size END DESC, mtime DESC, e.path) AS INT) AS rank, e.path FROM entries e LEFT JOIN sizes s ON s.path = e.path
+  WHERE contains(bare, 'bolt') OR is_dir QUALIFY rank <= 60"""
 ORACLE["children_count"] = f"{ENTRIES} SELECT parent, count(*) AS children FROM entries GROUP BY parent"
 ORACLE["dir_tree"] = f"""{ENTRIES}, kids AS (SELECT parent AS path, count(*) AS n FROM entries GROUP BY parent),
   placed AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY bare, path) AS place FROM entries WHERE starts_with(path, '/parts/') AND depth <= 3 QUALIFY place <= 4),

@@ -70,6 +70,13 @@ def _sorted(sort: str, descending: bool) -> Run:
 QUERIES |= {f"sort_{s}_{way}": _sorted(s, way == "desc") for s in SORTS if s != "relevance" for way in ("asc", "desc")}
 
 
+@query
+def sort_size_rollup(spark, sf_dir):
+    own = engine(spark, sf_dir, weights=usage.subtree_sizes(sample_entries(spark, sf_dir), NOW))
+    page = keyed(own.where("bolt|folder:"), "size", own.parse(""), own.weights).orderBy(*order(True)).limit(60)
+    return ranked(page, *order(True)).select("rank", "path")
+
+
 @query
 def page_offset(spark, sf_dir):
     page = engine(spark, sf_dir).rows("", "size", offset=120, limit=40)

@@ -7,6 +7,7 @@ of segments, they are folded into a new base.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,13 @@ class VersionedTable:
         fs.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(parent, str(self.revision() + 1)))
         return self.revision() + 1
 
+    def wait(self, revision: int, seconds: float, step: float = 0.05) -> bool:
+        """Whether the table has reached ``revision``, waiting for it at most ``seconds``."""
+        end = time.monotonic() + seconds
+        while (reached := self.revision() >= revision) is False and time.monotonic() < end:
+            time.sleep(step)
+        return reached
+
     def _settle(self, df: DataFrame) -> DataFrame:
         """Write a small frame and read it again, so that the planner knows its size and joins it without moving the base."""
         at = f"{self.path}/_work/{uuid.uuid4().hex}"

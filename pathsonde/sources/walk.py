@@ -14,6 +14,11 @@ from pathsonde.operators.rules import Rules
 from pathsonde.sources.entries import META, SCHEMA
 
 
+def visible(path: str) -> str:
+    """The path as text; a byte that is no UTF-8 becomes the private character U+F700 plus the byte."""
+    return "".join(chr(0xF700 + ord(c) - 0xDC00) if "\udc80" <= c <= "\udcff" else c for c in path)
+
+
 class Folder(InputPartition):
     def __init__(self, path: str, deep: bool) -> None:
         self.path, self.deep = path, deep
@@ -77,15 +82,16 @@ class Reader(DataSourceReader):
     def _row(self, path: str, is_dir: bool) -> tuple | None:
         if self._left_out(path, is_dir):
             return None
+        shown = visible(path)
         if not self.metadata:
-            return (self.number, path, is_dir, *(-1 if c == "items" else 1 if c == "links" else 0 for c in META))
+            return (self.number, shown, is_dir, *(-1 if c == "items" else 1 if c == "links" else 0 for c in META))
         try:
             s = os.stat(path, follow_symlinks=self.follow)
         except OSError:
             return None
         is_dir = stat.S_ISDIR(s.st_mode)
         size = 0 if is_dir else s.st_size
-        return (self.number, path, is_dir, size, int(s.st_mtime), int(s.st_ctime), int(s.st_atime), s.st_mode, s.st_uid, s.st_gid, getattr(s, "st_blocks", 0) * 512, -1, max(1, s.st_nlink))
+        return (self.number, shown, is_dir, size, int(s.st_mtime), int(s.st_ctime), int(s.st_atime), s.st_mode, s.st_uid, s.st_gid, getattr(s, "st_blocks", 0) * 512, -1, max(1, s.st_nlink))
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         if not partition.deep:

@@ -4,6 +4,7 @@ import itertools
 
 import pytest
 
+from pathsonde.functions import text
 from pathsonde.lang import ast, introspect, parser
 from pathsonde.lang.fields import Context
 
@@ -145,3 +146,9 @@ def test_introspection():
     for bad in ("!content:x", "content:x|a"):
         with pytest.raises(ValueError):
             parser.parse(bad, CTX).content_plan()
+
+
+def test_places_of_a_term():
+    at = text.matches_at
+    assert at("Raporu RAPOR", "rapor") == [(0, 5), (7, 12)] and at("Dilekçe", "dilekce") == [(0, 7)] and at("Dilekce", "dilekçe") == []
+    assert at("Straße", "ss") == [(4, 5)] and at("a\u0301b", "ab") == [(0, 3)] and at("x", "") == []

@@ -93,13 +93,13 @@ def test_sweep_spares_what_was_not_seen(spark):
 def test_stream_applies_each_batch_once(spark, tmp_path):
     where = f"file://{tmp_path}"
     t = VersionedTable(spark, f"{where}/t")
-    assert t.revision() == -1 and t.read().count() == 0
+    assert t.revision() == -1 and t.read().count() == 0 and not t.wait(0, 0.2)
     t.publish(table(spark, row("/d/a"), row("/k")))
     for batch in ([change(1, "remove_subtree", "/d")], [change(2, "upsert", "/d/a", 3), change(3, "upsert", "/n", 4)]):
         spark.createDataFrame(batch, CHANGES).coalesce(1).write.mode("append").parquet(f"{where}/feed")
     stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(f"{where}/feed")
     feed.apply_stream(stream, t, f"{where}/c").awaitTermination()
-    assert t.revisions() == [0, 1, 2]
+    assert t.revisions() == [0, 1, 2] and t.wait(2, 0)
     before = sorted(t.read().collect())
     t.maintain(segments=1)
     assert t.layers() == (2, []) and sorted(t.read().collect()) == before and not t.maintain()
@@ -147,6 +147,9 @@ def test_walk(spark, tmp_path):
     load = lambda **o: spark.read.format("filetree").options(path=str(tmp_path), exclude="skip", **o).load()
     got = {r.path.removeprefix(str(tmp_path)): (r.is_dir, r.size) for r in load().collect()}
     assert got == {"": (True, 0), "/a": (True, 0), "/a/x.txt": (False, 5), "/a/deep": (True, 0), "/a/deep/y.rs": (False, 5), "/b": (True, 0), "/b/.hid": (False, 5), "/top": (False, 5)}
+    (tmp_path / "b" / os.fsdecode(b"x\xff.txt")).write_text("")
+    assert f"{tmp_path}/b/x\uf7ff.txt" in {r.path for r in load().collect()}
+    (tmp_path / "b" / os.fsdecode(b"x\xff.txt")).unlink()
     os.symlink(tmp_path / "a", tmp_path / "a" / "deep" / "up")
     linked = {r.path.removeprefix(str(tmp_path)) for r in load(follow="true").collect()}
     assert linked == set(got)
