@@ -55,6 +55,29 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("shuffle_merge")
 
 
+#: Bits of a filter for each key, and at most.
+KEY_BITS, MOST_BITS = 16, 1 << 27
+
+
+def parted(rows: DataFrame, hashed: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``hashed`` (a long) may be among the single column of ``keys``, and rows whose hash is surely not.
+
+    It decides by a bitmap of at most MOST_BITS bits (16 MB), which is broadcast; where there are too many keys for
+    it, more rows may be among them. So a join with ``keys`` need not exchange the rows that it has nothing for.
+    """
+    spark, (key,) = rows.sparkSession, keys.columns
+    size = min(MOST_BITS, 1 << max(16, (KEY_BITS * keys.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(size))
+    word, bit = (lambda p: F.shiftright(p, 6).cast("int")), (lambda p: p.bitwiseAND(F.lit(63)).cast("int"))
+    set_ = keys.filter(F.col(key).isNotNull()).select(place(F.col(key)).alias("p")).groupBy(word(F.col("p")).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("p")))).alias("b"))
+    every = spark.range(size >> 6).select(F.col("id").cast("int").alias("w")).join(set_, "w", "left").select(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")).alias("x"))
+    name = free_name(rows, "_bits")
+    bits = cut(every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]).alias(name)))
+    found = F.call_function("shiftrightunsigned", F.get(F.col(name), word(place(hashed))), bit(place(hashed))).bitwiseAND(F.lit(1).cast("long")) == 1
+    both = rows.crossJoin(F.broadcast(bits))  # one row
+    return both.filter(found).drop(name), both.filter(~F.coalesce(found, F.lit(False))).drop(name)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it (without regard to case)."""
     taken = {c.lower() for c in df.columns}

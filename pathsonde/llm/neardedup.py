@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathsonde.llm.common import cut, free_name, release, slices
+from pathsonde.llm.common import cut, free_name, parted, release, slices
 from pathsonde.llm.components import connected_components
 from pathsonde.llm.simhash import covering_masks, fingerprint, shingle_hashes
 
@@ -146,7 +146,9 @@ class Join:
     def verified(self, near: DataFrame) -> DataFrame:
         """Those of ``near`` whose shingles are similar enough."""
         near = cut(near.select("u", "partu", "v", "partv"))
-        of = lambda c: self.sets.select(F.col("node").alias(c), F.col("part").alias(f"part{c}"), F.col("s").alias(f"s{c}"))
+        involved = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        sets, _ = parted(self.sets.select("node", "part", "s"), F.col("node"), involved)
+        of = lambda c: sets.select(F.col("node").alias(c), F.col("part").alias(f"part{c}"), F.col("s").alias(f"s{c}"))
         both = near.join(of("u"), ["u", "partu"]).join(of("v"), ["v", "partv"])
         common = F.size(F.array_intersect("su", "sv"))
         out = cut(both.filter(common >= F.lit(self.similarity) * (F.size("su") + F.size("sv") - common)).select("u", "v"))
@@ -214,10 +216,10 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     own = df.groupBy(F.col(key).alias("key"), h1.alias("h1"), h2.alias("h2")).agg(F.count(F.lit(1)).alias("rows"))
     own = cut(own.join(roots.withColumnRenamed("node", "h1"), "h1", "left").withColumn("root", F.coalesce("root", "h1")))
     row = F.struct(F.col("key").isNull().alias("none"), "key", "h1", "h2")
-    least = own.groupBy("root").agg(F.min(row).alias("least"))
+    least = cut(own.groupBy("root").agg(F.min(row).alias("least")))
     gone = cut(own.join(least, "root").filter(row != F.col("least")).select(F.col("key"), F.col("h1"), F.col("h2")))
     repeated = own.filter("rows > 1").limit(1).count() > 0
-    release(own)
-    rows = df.withColumns({a: h1, b: h2})
-    out = rows.join(gone, rows[key].eqNullSafe(gone["key"]) & (rows[a] == gone["h1"]) & (rows[b] == gone["h2"]), "left_anti")
+    release(own, least)
+    perhaps, stay = parted(df.withColumns({a: h1, b: h2}), F.col(a), gone.select("h1"))
+    out = perhaps.join(gone, perhaps[key].eqNullSafe(gone["key"]) & (perhaps[a] == gone["h1"]) & (perhaps[b] == gone["h2"]), "left_anti").unionByName(stay)
     return (out.dropDuplicates([key, a, b]) if repeated else out).select(*df.columns)
