@@ -84,7 +84,7 @@ def spans_of(text: Column, pattern: str, keep) -> Column:
 def base_spans(df: DataFrame, text: str, names: dict[str, str]) -> DataFrame:
     """Add a column of valid matches for each kind of PATTERNS, named by ``names``."""
     c = F.col(text)
-    some = {"email": c.contains("@"), "ip": c.contains("."), "card": c.rlike("[0-9]{2}|[0-9][ -][0-9]"), "phone": c.contains("+"), "secret": c.rlike("[A-Za-z0-9]{16}")}
+    some = {"email": c.contains("@"), "ip": c.rlike(r"[0-9]\.[0-9]"), "card": c.rlike("[0-9]{2}|[0-9][ -][0-9]"), "phone": c.contains("+"), "secret": c.rlike("[0-9]") & c.rlike("(?<![A-Za-z0-9])[A-Za-z0-9]{16}")}
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     return df.withColumns({names[k]: F.when(some[k], spans_of(c, p, _keeps(k))).otherwise(none) for k, p in PATTERNS.items()})
 
