@@ -149,6 +149,10 @@ class Query:
         """Name terms that stand alone in their group: what relevance and highlighting go by."""
         return [g[0].match.text for g in self.groups if len(g) == 1 and not g[0].negated and isinstance(g[0].match, NameContains)]
 
+    def narrowing_terms(self, least: int) -> list[str]:
+        """Those of at least ``least`` characters: what an index of letter groups could be asked for."""
+        return [t for t in self.scored_terms() if len(t) >= least]
+
     def content_plan(self) -> tuple[Query, list[str]]:
         """The query without its content terms, and those terms; they must stand alone and not be negated."""
         needles, rest = [], []

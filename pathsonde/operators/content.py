@@ -86,6 +86,11 @@ def grep_hits(contents: DataFrame, pattern: str, per_file: int = HITS_PER_FILE,
     return found.filter(F.size("found") > 0).select("source", "path", shown.alias("hits"), (F.size("found") > per_file).alias("more"))
 
 
+def grep_outcomes(contents: DataFrame, include_binary: bool = False) -> DataFrame:
+    """``(outcome, files)``: how many files a grep reads, and why it skips the others."""
+    return readable(contents).groupBy(outcome(F.col("content"), include_binary).alias("outcome")).agg(F.count(F.lit(1)).alias("files"))
+
+
 def grep(engine: Engine, contents: DataFrame, query: str, needle: str, kind: str = "text", exact: bool = False, top: int = TOP_FILES) -> DataFrame:
     """Hits in the ``top`` newest matching files, newest first."""
     candidates = engine.where(query).filter(~F.col("is_dir") & (F.col("size") > 0)).select("source", "path", "mtime")

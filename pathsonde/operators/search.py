@@ -124,7 +124,10 @@ class Engine:
         query = self.parse(text)
         return Page(self.rows(text, sort, descending, offset, limit), self.count(text), introspect.misread(text, self.context), introspect.describe(query))
 
-    def stat(self, path: str) -> DataFrame:
+    def stat(self, path: str, roots: tuple[str, ...] | None = None) -> DataFrame:
+        """The entry at ``path``; with ``roots``, those of the sources, any other path is refused."""
+        if roots is not None and not any(f"{path}/".startswith(f"{r.rstrip('/')}/") for r in roots):
+            raise ValueError(f"{path} lies in no source")
         return self.entries.filter(F.col("path") == path)
 
     def explain(self, text: str) -> dict:

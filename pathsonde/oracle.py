@@ -278,6 +278,8 @@ def _hits(pattern: str, filt: str = "true", top: int = 50) -> str:
 
 ORACLE["grep_text"] = _hits("[lL][iIİı][cC][eE][nN][sS][eE]")
 ORACLE["grep_regex"] = _hits("(?i)token = .[0-9a-f]+", top=1000)
+ORACLE["grep_outcomes"] = f"""{CONTENTS} SELECT CASE WHEN strlen(content) = 0 THEN 'clean' WHEN strlen(content) > 67108864 THEN 'too_big' WHEN contains(substr(content, 1, 8192), chr(0)) THEN 'binary' ELSE 'read' END AS outcome,
+  count(*) AS files FROM contents GROUP BY ALL"""
 ORACLE["grep_hex"] = _hits("token =", top=1000)
 ORACLE["grep_in_query"] = _hits("[tT][hH][eE] [aA]", "e.source = 4", top=20)
 ORACLE["content_and_query"] = f"""{CONTENTS} SELECT e.source, e.path FROM entries e JOIN contents c ON c.source = e.source AND c.path = e.path
@@ -312,6 +314,9 @@ ups AS (SELECT path, folder, max(seq) AS seq, arg_max(size, seq) AS size FROM fe
 rms AS (SELECT folder, max(seq) AS seq FROM feed WHERE op = 'remove_subtree' AND seq % 5 <> 0 AND folder NOT LIKE '%1' GROUP BY ALL),
 live AS (SELECT ups.path, ups.size FROM ups LEFT JOIN rms USING (folder) WHERE rms.seq IS NULL OR rms.seq < ups.seq)
 """
+ORACLE["event_translation"] = """WITH e AS (SELECT event_id AS seq, CASE WHEN user_id % 97 = 0 OR event_type = 'view' THEN ['rescan'] WHEN event_type = 'error' THEN ['remove_subtree'] WHEN event_type = 'signup' THEN ['upsert', 'rescan'] ELSE ['upsert'] END AS ops,
+    CASE WHEN user_id % 194 <> 0 THEN '/u' || user_id ELSE '' END AS path, CAST(floor(value * 100) AS BIGINT) AS size FROM events), o AS (SELECT *, unnest(ops) AS op FROM e)
+  SELECT seq, op, path, CASE WHEN op = 'upsert' THEN size END AS size FROM o"""
 ORACLE["upsert_latest"] = f"{FEED} SELECT path, size FROM live"
 ORACLE["apply_changes"] = f"{FEED} SELECT path, size FROM live UNION ALL SELECT path, CAST(-1 AS BIGINT) FROM start WHERE path NOT IN (SELECT path FROM live) AND folder NOT IN (SELECT folder FROM rms)"
 ORACLE["stream_upsert"] = ORACLE["apply_changes"]

@@ -66,8 +66,12 @@ def near(c: Column, term: str, edits: int) -> Column:
 
     @F.pandas_udf("boolean")
     def aligned(names: pd.Series) -> pd.Series:
-        known = {n: n is not None and text.substring_distance(term, n) <= edits for n in names.unique()}
-        return names.map(known).astype(bool)
+        distinct = sorted(names.dropna().unique(), key=len)
+        known: dict = {}
+        for k in range(0, len(distinct), 1024):
+            some = distinct[k : k + 1024]
+            known.update(zip(some, text.substring_distances(term, some) <= edits, strict=True))
+        return names.map(known).fillna(False).astype(bool)
 
     possible = near_candidates(c, term, edits)
     return possible & aligned(F.when(possible, c).otherwise(""))

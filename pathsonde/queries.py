@@ -301,6 +301,11 @@ def grep_regex(spark, sf_dir):
     return _lines(content.grep(engine(spark, sf_dir), sample_contents(spark, sf_dir), "", "token = .[0-9a-f]+", kind="regex", top=1000))
 
 
+@query
+def grep_outcomes(spark, sf_dir):
+    return content.grep_outcomes(sample_contents(spark, sf_dir))
+
+
 @query
 def grep_hex(spark, sf_dir):
     return _lines(content.grep(engine(spark, sf_dir), sample_contents(spark, sf_dir), "", "74 6f 6b 65 6e20 3d", kind="hex", top=1000))
@@ -376,6 +381,17 @@ def sample_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), "op", F.lit(0).alias("source"), path.alias("path"), entry.alias("entry"))
 
 
+@query
+def event_translation(spark, sf_dir):
+    """The events as a watcher's reports: errors are missing paths, views unclear ones, signups new folders, some are lost."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    found = F.when(F.col("user_id") % 97 == 0, "overflow").when(F.col("event_type") == "error", "missing").when(F.col("event_type") == "view", "unclear").otherwise("there")
+    path = F.when(F.col("user_id") % 194 != 0, F.concat(F.lit("/u"), F.col("user_id")))
+    size = F.floor(F.col("value") * 100).cast("long")
+    e = e.select(F.col("event_id").alias("seq"), F.lit(0).alias("source"), path.alias("path"), found.alias("found"), (F.col("event_type") == "signup").alias("fresh"), F.struct(size.alias("size")).alias("entry"))
+    return feed.translate_events(e).select("seq", "op", "path", F.col("entry.size").alias("size"))
+
+
 def sample_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 3 = 0")
     path = F.concat(F.lit("/feed/u"), F.col("user_id") % 40, F.lit("/f"), F.col("user_id") % 7, F.lit(".dat"))

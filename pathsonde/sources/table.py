@@ -110,6 +110,26 @@ class VersionedTable:
         self.publish(self.read(), batches[-1])
         return True
 
+    def stats(self) -> dict[str, int]:
+        """Live entries and directories, rows of batches not yet folded, removals among them, and bytes of files."""
+        base, batches = self.layers()
+        live = self.read().agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("is_dir").cast("long")), F.lit(0))).first()
+        ops = {}
+        if batches:
+            changes = self.spark.read.schema(CHANGES).parquet(*[f"{self.path}/d{r}" for r in batches])
+            ops = {r[0]: r[1] for r in changes.groupBy("op").count().collect()}
+        names = [f"v{base}"] * (base >= 0) + [f"d{r}" for r in batches]
+        size = sum(self._fs().getContentSummary(self._path(n)).getLength() for n in names)
+        return {"entries": live[0], "directories": live[1], "unsorted": ops.get("upsert", 0), "removals": ops.get("remove_subtree", 0), "bytes": size}
+
+    def forget(self, source: int) -> int:
+        """Drop the rows of a source."""
+        return self.publish(self.read().filter(F.col("source") != source))
+
+    def clear(self) -> int:
+        """Drop all rows."""
+        return self.publish(self.read().limit(0))
+
     def compact(self) -> None:
         """Fold all batches, then drop what no reader of the last revision needs."""
         self.maintain(segments=0)

@@ -17,6 +17,19 @@ from pathsonde.sources.table import VersionedTable
 QUIET_MS, CAP_MS = 500, 3_000
 
 
+def translate_events(events: DataFrame) -> DataFrame:
+    """Changes ``(seq, op, source, path, entry)`` for what a watcher reports: ``(seq, source, path, found, fresh, entry)``.
+
+    ``found`` is what a look at the path gave: ``there`` is an upsert, and for a directory just made (``fresh``) a rescan of it
+    too; ``missing`` removes the subtree; ``unclear`` asks for a rescan. ``overflow`` says that events were lost
+    under ``path``, or anywhere where that is null, and asks for a rescan of it, or of everything.
+    """
+    op = F.when(F.col("found") == "missing", F.array(F.lit("remove_subtree"))).when(F.col("found") != "there", F.array(F.lit("rescan")))
+    ops = op.when(F.col("fresh"), F.array(F.lit("upsert"), F.lit("rescan"))).otherwise(F.array(F.lit("upsert")))
+    each = events.select("seq", F.explode(ops).alias("op"), "source", F.coalesce("path", F.lit("")).alias("path"), "entry")
+    return each.withColumn("entry", F.when(F.col("op") == "upsert", F.col("entry")))
+
+
 def apply_stream(changes: DataFrame, table: VersionedTable, checkpoint: str, **trigger):
     """Start a query that appends each micro-batch of ``changes(seq, op, source, path, entry)`` to the table, and folds batches as they grow.
 

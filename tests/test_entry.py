@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: One of each kind; the driver compares them all.
 NAMES = [
     "search_flagship", "pred_glob", "pred_under", "pred_ext_list", "pred_kind", "pred_time_day", "pred_regex", "pred_letters", "pred_bits_all", "pred_negated_range", "pred_accent_marked", "pred_exact_accents", "pred_fuzzy_1",
-    "sort_name_asc", "sort_kind_desc", "sort_ext_asc", "sort_size_rollup", "usage_top", "facet_ext", "pred_fuzzy_2", "turkish_upper", "grep_hex", "page_after", "relevance_terms", "count_capped", "derived_columns", "mode_string", "owner_join", "export_cells", "facets_multi", "facets_sideways", "age_ribbon", "usage_children",
+    "sort_name_asc", "sort_kind_desc", "sort_ext_asc", "sort_size_rollup", "usage_top", "facet_ext", "pred_fuzzy_2", "turkish_upper", "grep_hex", "grep_outcomes", "event_translation", "page_after", "relevance_terms", "count_capped", "derived_columns", "mode_string", "owner_join", "export_cells", "facets_multi", "facets_sideways", "age_ribbon", "usage_children",
     "subtree_sizes", "folder_weight", "dir_tree", "dupes_report", "grep_text", "content_and_query", "rules_allow", "prefix_reduce", "owner_of_path", "reconcile_table", "apply_report", "stream_upsert", "debounce", "shares_lrm", "fold_rest", "ring_arcs",
 ]
 

@@ -115,9 +115,12 @@ def test_compaction_keeps_rows(spark, tmp_path):
     t = VersionedTable(spark, f"file://{tmp_path}/t")
     t.publish(table(spark, row("/d/a"), row("/k")))
     t.append(spark.createDataFrame([change(2, "upsert", "/n", 4)], CHANGES))
+    stats = t.stats()
+    assert stats.pop("bytes") > 500 and stats == {"entries": 3, "directories": 0, "unsorted": 1, "removals": 0}
     t.maintain(segments=0)
     t.compact()
     assert t.revisions() == [1] and t.read().count() == 3
+    assert t.read().count() == 3 and t.read(t.forget(5)).count() == 3 and t.read(t.forget(0)).count() == 0 and t.read(t.clear()).count() == 0
 
 
 def test_debounce(spark):

@@ -88,6 +88,14 @@ def test_folding_columns_agree_with_python(spark):
         assert (r.f, r.u) == (text.fold(r.s), text.unaccent(r.s)), r.s
 
 
+def test_distances_of_many_names():
+    rng = random.Random(8)
+    for _ in range(60):
+        term = "".join(rng.choices("abcé", k=rng.randint(1, 9)))
+        names = ["", *("".join(rng.choices("abcdé🙂", k=rng.randint(0, 14))) for _ in range(40))]
+        assert text.substring_distances(term, names).tolist() == [text.substring_distance(term, n) for n in names]
+
+
 def test_plans_prune(spark, entries, tmp_path):
     from pathsonde.sources.entries import read_segments, write_segment
 
@@ -110,6 +118,9 @@ def test_plans_prune(spark, entries, tmp_path):
 
 def test_similar_and_typos(entries):
     own = Engine(entries, Context(NOW))
+    assert own.stat("/a", ("/a/b", "/a")).columns and own.parse("report ab !tmp one|two").narrowing_terms(3) == ["report"]
+    with pytest.raises(ValueError, match="source"):
+        own.stat("/ab", ("/a",))
     assert own.similar("kitapp").first().total > 0 and own.similar("abc") is None
     assert isinstance(Engine(entries, Context(NOW), typos="always").parse("kitap").groups[0][0].match, ast.NameNear)
     page = own.search("kind:zurna rapor", limit=5)
