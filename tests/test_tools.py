@@ -55,7 +55,11 @@ def test_mounts(spark, tmp_path):
     (tmp_path / "m").write_text(lines)
     m = mounts(spark, f"file://{tmp_path}/m")
     assert {r.mount: r.noatime for r in m.collect()} == {"/": True, "/srv/b c": False, "/proc": False, "/net": False, "/media/u/stick": False}
-    assert {r.mount: r.kind for r in volumes(m).collect()} == {"/": "system", "/net": "network", "/media/u/stick": "removable"}
+    assert {r.mount: (r.kind, r.roots) for r in volumes(m).collect()} == {"/": ("system", ["/"]), "/net": ("network", ["/net"]), "/media/u/stick": ("removable", ["/media/u/stick"])}
+    more = "27 22 8:2 / /data rw - ext4 /dev/b rw\n28 22 8:2 / /data/again rw - ext4 /dev/b rw\n29 22 8:2 / /copy rw - ext4 /dev/b rw\n30 22 8:3 / /boot rw - ext4 /dev/c rw\n31 22 8:4 / /run/media/u/x rw - udf /dev/d rw\n"
+    (tmp_path / "m2").write_text(more)
+    got = {r.mount: (r.kind, r.roots) for r in volumes(mounts(spark, f"file://{tmp_path}/m2")).collect()}
+    assert got == {"/copy": ("internal", ["/copy", "/data"]), "/run/media/u/x": ("removable", ["/run/media/u/x"])}
 
 
 def test_preview(spark, engine):
@@ -73,5 +77,12 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main([table, "search", "ext:py"])
     out = capsys.readouterr().out
     assert json.loads(out[: out.index("\n")]) == {"revision": 0} and "one.py" in out
-    cli.main([table, "export", f"file://{tmp_path}/csv", "one"])
-    assert "one.py" in "".join(p.read_text() for p in Path(tmp_path / "csv").glob("part*"))
+    (tmp_path / "d" / "two.py").write_text("y")
+    (tmp_path / "d" / "one.py").unlink()
+    cli.main([table, "rescan", str(tmp_path / "d")])
+    cli.main([table, "status"])
+    cli.main([table, "search", "ext:py"])
+    out = capsys.readouterr().out
+    assert '"entries": 2' in out and "two.py" in out and "one.py" not in out
+    cli.main([table, "export", f"file://{tmp_path}/csv", "two"])
+    assert "two.py" in "".join(p.read_text() for p in Path(tmp_path / "csv").glob("part*"))
