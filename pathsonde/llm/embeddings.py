@@ -18,9 +18,9 @@ from pathsonde.llm.components import connected_components
 from pathsonde.llm.hnsw import M0, Graph
 
 #: Shards at least, and the bytes of a shard's graph and vectors at most; slices of a shard's queries at least, and queries of a slice at most.
-SHARDS, SHARD_BYTES, SLICES, SLICE_ROWS = 8, 256_000_000, 3, 20_000
-#: Beam to begin with; recall that audits ask for; queries audited of each batch; queries of a batch.
-EF, RECALL, AUDITED, BATCH = 48, 0.999, 24, 1024
+SHARDS, SHARD_BYTES, SLICES, SLICE_ROWS = 4, 256_000_000, 6, 20_000
+#: Beam to begin with; recall that audits ask for; queries audited of each batch; queries of a batch, and bytes of their marks on the shard's nodes.
+EF, RECALL, AUDITED, BATCH, MARKS = 48, 0.999, 24, 1024, 64_000_000
 #: Room for rounding in single precision; what lies in it is decided in double.
 SLACK = 1e-4
 
@@ -37,6 +37,7 @@ class Shard:
     def __init__(self, graph: Graph, x: np.ndarray, ids: np.ndarray, copies: np.ndarray, ef: int = EF) -> None:
         self.graph, self.x, self.ids, self.copies, self.ef = graph, x, ids, copies, ef
         self.parent = np.arange(len(ids))
+        self.batch = max(16, min(BATCH, MARKS // max(1, len(ids))))
 
     @classmethod
     def build(cls, v: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> Shard:
@@ -141,7 +142,7 @@ def _search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
                 shard = Shard.load(data[k].as_py())
             else:
                 ids.append(uid[k].as_py()), vectors.append(v[k].values.to_numpy(zero_copy_only=False))
-                if len(ids) == BATCH:
+                if len(ids) == shard.batch:
                     yield from flush()
     yield from flush()
 
