@@ -82,7 +82,7 @@ def tree(rows: DataFrame, folder: str, depth: int = 1, limit: int = TREE_ROWS, d
     """``(path, level, is_dir, size, mtime, children, truncated)`` of what lies up to ``depth`` below ``folder``.
 
     Of each folder the first ``limit`` names are listed, by name without marks, folders before files
-    among them; what lies under a folder that was cut off is not listed. Only the listed folders' entries are counted.
+    among them; what lies under a folder that was cut off is not listed. Entries are read three times, however deep the listing goes.
     """
     folder = folder.rstrip("/")
     base = folder.count("/")
@@ -92,12 +92,13 @@ def tree(rows: DataFrame, folder: str, depth: int = 1, limit: int = TREE_ROWS, d
     w = Window.partitionBy("parent").orderBy("bare", "path")
     placed = inside.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
     shown = placed.select("path", "parent", "bare", "is_dir", "size", "mtime", (F.col("depth") - base).cast("int").alias("level"))
-    listed = shown.filter("level = 1")
-    for level in range(2, depth + 1):
-        parents = listed.filter((F.col("level") == level - 1) & F.col("is_dir")).select(F.col("path").alias("parent"))
-        listed = listed.unionByName(shown.filter(F.col("level") == level).join(parents, "parent", "left_semi").select(*listed.columns))
-    folders = listed.filter("is_dir").select(F.col("path").alias("parent"))
-    inner = rows.filter("is_dir") if dirs_only else rows
-    counts = children_count(inner.select("parent").join(folders, "parent", "left_semi")).withColumnRenamed("parent", "path")
+    listed = shown
+    if depth > 1:
+        between = F.filter(paths.ancestors_of(F.col("path")), lambda a: a.startswith(folder + "/") & (a != "/"))
+        kept = shown.filter("is_dir").select(F.col("path").alias("above"), F.lit(1).alias("kept"))
+        each = shown.withColumn("above", F.explode_outer(between)).join(kept, "above", "left")
+        listed = each.groupBy(*shown.columns).agg(F.count("kept").alias("kept")).filter(F.col("kept") == F.col("level") - 1).drop("kept")
+    inner = rows.filter(paths.under(F.col("path"), folder) & F.col("depth").between(base + 2, base + depth + 1))
+    counts = children_count(inner.filter("is_dir") if dirs_only else inner).withColumnRenamed("parent", "path")
     out = listed.join(counts, "path", "left").withColumn("children", F.when(F.col("is_dir"), F.coalesce("children", F.lit(0))))
     return out.withColumn("truncated", F.coalesce(F.col("children") > limit, F.lit(False))).orderBy("level", "parent", F.desc("is_dir"), "bare", "path").drop("bare")
