@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathsonde.llm import linededup, neardedup, packing, pii, toxicity
-from pathsonde.llm.common import cut, documents, free_name
+from pathsonde.llm.common import cut, documents, free_name, release
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -80,7 +80,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), []
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
