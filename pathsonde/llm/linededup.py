@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathsonde.llm.common import ascii_lower, cut, free_name
+from pathsonde.llm.common import ascii_lower, cut, free_name, parted
 
 #: Space and 09-0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -117,7 +117,9 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
     drops = cut(hits.groupBy("did", "h").agg(F.collect_set("pos").alias(drop)).select(F.col("did").alias(did), F.col("h").alias(h), drop))
 
     marked = rows.withColumn(did, F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))).withColumn(h, F.xxhash64(F.col(text)))
-    joined = marked.join(drops, [did, h], "left").withColumn(at, lines_of(F.col(text)))
+    perhaps, whole = parted(marked, F.col(h), drops.select(h))  # texts that surely lose nothing are not exchanged
+    joined = perhaps.join(drops, [did, h], "left").unionByName(whole.withColumn(drop, F.lit(None).cast(drops.schema[drop].dataType)))
+    joined = joined.withColumn(at, lines_of(F.col(text)))
     kept = F.array_except(F.sequence(F.lit(0), F.size(at) - 1), F.col(drop))
     cleaned = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(at), i)), "\n"))
     out = joined.withColumn(text, cleaned).withColumn("n_lines", F.size(at).cast("long"))

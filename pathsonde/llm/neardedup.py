@@ -132,6 +132,10 @@ class Join:
     def close(self) -> None:
         release(self.sets, self.nodes, self.members)
 
+    def needed(self, n: Column, m: Column) -> Column:
+        """What sets of ``n`` and ``m`` shingles have in common at least, if they are similar enough."""
+        return F.lit(self.similarity / (1 + self.similarity)) * (n + m) - SLACK
+
     def near(self, pairs: DataFrame) -> DataFrame:
         """``(u, partu, v, partv, differ)``: the distinct pairs that bitmaps don't refuse."""
         ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -176,9 +180,11 @@ class Join:
         release(led)
 
         rows = self.mixed(links)
-        drawn = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "root")).alias("drawn"), F.min(F.struct("node", "root")).alias("least"))
-        others = F.explode(F.array("least", F.struct("drawn.node", "drawn.root")))
+        own = ("node", "root", "n", "rest")
+        drawn = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), *own)).alias("drawn"), F.min(F.struct(*own)).alias("least"))
+        others = F.explode(F.array("least", F.struct(*[f"drawn.{c}" for c in own])))
         apart = rows.join(drawn.select("bucket", others.alias("other")), "bucket").filter(F.col("root") != F.col("other.root"))
+        apart = apart.filter((F.col("rest") == 0) | (F.least("rest", "other.rest") >= self.needed(F.col("n"), F.col("other.n"))))
         more = self.verified(self.near(apart.select(F.col("node").alias("u"), F.col("other.node").alias("v"))))
         release(rows)
         links, old = cut(links.unionByName(more)), (links, more)
@@ -186,8 +192,8 @@ class Join:
 
         rows = self.mixed(links)
         u, v = (rows.filter("rest > 0").select("bucket", *[F.col(c).alias(c + x) for c in ("node", "n", "rest", "root")]) for x in ("u", "v"))
-        need = F.lit(self.similarity / (1 + self.similarity)) * (F.col("nu") + F.col("nv")) - SLACK
-        pairs = u.join(v, "bucket").filter((F.col("nodeu") < F.col("nodev")) & (F.col("rootu") != F.col("rootv")) & (F.least("restu", "restv") >= need))
+        pairs = u.join(v, "bucket").filter((F.col("nodeu") < F.col("nodev")) & (F.col("rootu") != F.col("rootv")))
+        pairs = pairs.filter(F.least("restu", "restv") >= self.needed(F.col("nu"), F.col("nv")))
         more = self.verified(self.near(pairs.select(F.col("nodeu").alias("u"), F.col("nodev").alias("v"))))
         release(rows)
         return links.unionByName(more)
@@ -221,5 +227,7 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     repeated = own.filter("rows > 1").limit(1).count() > 0
     release(own, least)
     perhaps, stay = parted(df.withColumns({a: h1, b: h2}), F.col(a), gone.select("h1"))
-    out = perhaps.join(gone, perhaps[key].eqNullSafe(gone["key"]) & (perhaps[a] == gone["h1"]) & (perhaps[b] == gone["h2"]), "left_anti").unionByName(stay)
+    # an outer join, as Spark would push an anti join below the choice of rows
+    met = perhaps.join(gone, perhaps[key].eqNullSafe(gone["key"]) & (perhaps[a] == gone["h1"]) & (perhaps[b] == gone["h2"]), "left")
+    out = met.filter(gone["h1"].isNull()).select(*[perhaps[c] for c in stay.columns]).unionByName(stay)
     return (out.dropDuplicates([key, a, b]) if repeated else out).select(*df.columns)
