@@ -18,9 +18,11 @@ from pathsonde.llm.components import connected_components
 from pathsonde.llm.hnsw import M0, Graph
 
 #: Shards at least, and the bytes of a shard's graph and vectors at most; slices of a shard's queries at least, and queries of a slice at most.
-SHARDS, SHARD_BYTES, SLICES, SLICE_ROWS = 4, 256_000_000, 6, 20_000
+SHARDS, SHARD_BYTES, SLICES, SLICE_ROWS = 8, 256_000_000, 3, 20_000
 #: Beam to begin with; recall that audits ask for; queries audited of each batch; queries of a batch, and bytes of their marks on the shard's nodes.
 EF, RECALL, AUDITED, BATCH, MARKS = 48, 0.999, 24, 1024, 64_000_000
+#: Nodes that a scan takes in the time in which a widened beam takes one place.
+SCANNED = 64
 #: Room for rounding in single precision; what lies in it is decided in double.
 SLACK = 1e-4
 
@@ -58,11 +60,11 @@ class Shard:
         return [np.flatnonzero(row >= low) for k in range(0, len(q), 64) for row in q[k : k + 64].astype(np.float32) @ self.graph.x.T]
 
     def _beams(self, q: np.ndarray, low: float, ef: int) -> list[np.ndarray]:
-        """Candidates of each query; a beam that is half full of them is widened, to a scan at last."""
+        """Candidates of each query; a beam that is half full of them is widened, or gives way to a scan where that is cheaper."""
         out: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(q)
-        todo = np.arange(len(q))
+        todo, cost = np.arange(len(q)), 2
         while len(todo):
-            if 2 * ef >= len(self.ids):
+            if cost * ef >= len(self.ids):
                 for i, hit in zip(todo, self._scan(q[todo], low), strict=True):
                     out[i] = hit
                 break
@@ -71,7 +73,7 @@ class Shard:
             full = good.sum(axis=1) * 2 >= ef
             for k in np.flatnonzero(~full & good.any(axis=1)):
                 out[todo[k]] = ids[k, good[k]]
-            todo, ef = todo[full], 2 * ef
+            todo, ef, cost = todo[full], 2 * ef, SCANNED
         return out
 
     def candidates(self, q: np.ndarray, threshold: float) -> list[np.ndarray]:
