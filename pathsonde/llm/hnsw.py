@@ -10,6 +10,13 @@ import numpy as np
 M, M0, EF_BUILD = 12, 24, 64
 #: Layers of at most so many nodes are scanned.
 SCAN = 64
+#: Places of a beam whose links are followed at a time; vectors searched at a time; bytes that a search or an insertion may take for each of its arrays.
+STEP, BATCH, ROOM = 4, 1024, 64_000_000
+
+
+def batch_size(size: int, dim: int) -> int:
+    """Vectors to search at a time: their marks on ``size`` nodes, and the vectors met in a step, keep to ROOM bytes each."""
+    return max(16, min(BATCH, ROOM // max(1, size), ROOM // (2 * 4 * STEP * M0 * max(1, dim))))
 
 
 def _top(sims: np.ndarray, k: int) -> np.ndarray:
@@ -24,6 +31,9 @@ def _top(sims: np.ndarray, k: int) -> np.ndarray:
 def select_diverse(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
     """Up to ``m`` of each row's candidates (nearest first, -1 for none): those nearer to the row's vector than to one chosen before."""
     rows, width = ids.shape
+    few = max(1, ROOM // 8 // (4 * width * max(width, x.shape[1])))
+    if rows > few:
+        return np.concatenate([select_diverse(x, ids[k : k + few], sims[k : k + few], m) for k in range(0, rows, few)])
     c = x[np.maximum(ids, 0)]
     between = np.einsum("rid,rjd->rij", c, c)
     chosen = np.zeros((rows, width), dtype=bool)
@@ -42,7 +52,7 @@ class Layer:
     """A graph over ``nodes``, which are rows of ``x``; ``links`` holds places in ``nodes``."""
 
     def __init__(self, x: np.ndarray, nodes: np.ndarray, m: int) -> None:
-        self.x, self.nodes, self.m = x[nodes], nodes, m
+        self.x, self.nodes, self.m = x if len(nodes) == len(x) else x[nodes], nodes, m
         self.links = np.full((len(nodes), m), -1, dtype=np.int32)
         self.size = 0
 
@@ -50,7 +60,7 @@ class Layer:
         """Add the nodes in growing batches; a batch is linked to the graph so far and within itself."""
         while self.size < len(self.nodes):
             a = self.size
-            b = min(len(self.nodes), a + max(SCAN, min(512, a)))
+            b = min(len(self.nodes), a + max(SCAN, min(512, a, batch_size(a, self.x.shape[1]))))
             q, own = self.x[a:b], np.arange(a, b)
             inner = q @ q.T
             np.fill_diagonal(inner, -2)
@@ -78,8 +88,9 @@ class Layer:
         place = np.arange(len(target)) - np.repeat(first, count)
         fits = place < widest
         more[np.repeat(np.arange(len(touched)), count)[fits], place[fits]] = source[fits]
-        for k in range(0, len(touched), 2048):
-            t, ids = touched[k : k + 2048], np.concatenate([self.links[touched[k : k + 2048]], more[k : k + 2048]], 1)
+        few = max(1, ROOM // 8 // ((self.m + widest) * max(self.m + widest, 4 * self.x.shape[1])))
+        for k in range(0, len(touched), few):
+            t, ids = touched[k : k + few], np.concatenate([self.links[touched[k : k + few]], more[k : k + few]], 1)
             again = (ids[:, :, None] == ids[:, None, :]) & (np.arange(ids.shape[1])[:, None] > np.arange(ids.shape[1]))
             ids = np.where(again.any(axis=2), -1, ids)
             sims = np.where(ids >= 0, np.einsum("rd,rjd->rj", self.x[t], self.x[np.maximum(ids, 0)]), -2)
@@ -94,7 +105,7 @@ class Layer:
         """The nearest of the first SCAN nodes, as entry points while the layer is built."""
         return (q @ self.x[: min(SCAN, self.size)].T).argmax(axis=1)
 
-    def search(self, q: np.ndarray, ef: int, entry: np.ndarray, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, ef: int, entry: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of a beam of ``ef`` for each query, nearest first; -1 and -2 where there are fewer."""
         n, ef = len(q), min(ef, self.size)
         ids, sims = np.full((n, ef), -1, dtype=np.int64), np.full((n, ef), -2, dtype=np.float32)
@@ -115,7 +126,8 @@ class Layer:
             fresh = found >= 0
             row, found = row[fresh], found[fresh]
             fresh = ~seen[live[row], found]
-            keys = np.unique(row[fresh] * self.size + found[fresh])
+            keys = np.sort(row[fresh] * self.size + found[fresh])
+            keys = keys[np.diff(keys, prepend=-1) > 0]
             row, found = keys // self.size, keys % self.size
             seen[live[row], found] = True
             if len(keys):
@@ -158,18 +170,41 @@ class Graph:
             at = layer.nodes[ids[:, 0]]
         return self.layers[0].search(q, ef, at)
 
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The links of all layers, node by node and the lowest layer first, and how many belong to each node."""
+        levels = np.zeros(len(self.x), dtype=np.int64)
+        for layer in self.layers[1:]:
+            levels[layer.nodes] += 1
+        counts = M0 + M * levels
+        ends = np.cumsum(counts)
+        flat = np.empty(int(counts.sum()), dtype=np.int32)
+        for k, layer in enumerate(self.layers):
+            flat[self._places(ends - counts, layer.nodes, k)] = layer.links
+        return flat, counts
+
+    @staticmethod
+    def _places(starts: np.ndarray, nodes: np.ndarray, k: int) -> np.ndarray:
+        """Where ``rows`` has the links of these nodes in layer ``k``."""
+        return starts[nodes][:, None] + (np.arange(M) + M0 + M * (k - 1) if k else np.arange(M0))
+
+    @classmethod
+    def from_rows(cls, x: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> Graph:
+        """The graph over unit vectors ``x`` from what ``rows`` gave."""
+        own = cls.__new__(cls)
+        own.x, own.layers = np.ascontiguousarray(x, dtype=np.float32), []
+        levels, starts = (counts - M0) // M, np.cumsum(counts) - counts
+        for k in range(int(levels.max(initial=0)) + 1):
+            layer = Layer(own.x, np.flatnonzero(levels >= k), M if k else M0)
+            layer.links, layer.size = flat[cls._places(starts, layer.nodes, k)], len(layer.nodes)
+            own.layers.append(layer)
+        return own
+
     def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, x=self.x, **{f"n{k}": v.nodes for k, v in enumerate(self.layers)}, **{f"l{k}": v.links for k, v in enumerate(self.layers)})
+        out, (flat, counts) = io.BytesIO(), self.rows()
+        np.savez(out, x=self.x, flat=flat, counts=counts)
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Graph:
-        own = cls.__new__(cls)
         with np.load(io.BytesIO(data)) as z:
-            own.x, own.layers = z["x"], []
-            for k in range(sum(f.startswith("n") for f in z.files)):
-                layer = Layer(own.x, z[f"n{k}"], M if k else M0)
-                layer.links, layer.size = z[f"l{k}"], len(layer.nodes)
-                own.layers.append(layer)
-        return own
+            return cls.from_rows(z["x"], z["flat"], z["counts"])

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from pathsonde.llm import embeddings
 from pathsonde.llm.embeddings import embedding_components, unit
 from pathsonde.llm.hnsw import Graph
 
@@ -81,3 +83,29 @@ def test_table(spark):
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     want = brute(rows)
     same(embedding_components(df).collect(), want)
+
+
+def test_no_row_holds_a_graph(spark, monkeypatch):
+    largest, cut = [], embeddings.cut
+
+    def spy(df):
+        out = cut(df)
+        largest.extend(out.agg(F.max(F.octet_length(n))).first()[0] for n, t in out.dtypes if t == "binary")
+        return out
+
+    monkeypatch.setattr(embeddings, "cut", spy)
+    rows = [(i, v.tolist()) for i, v in enumerate(data(6, 1200, 5, 20))]
+    got = embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shards=1).collect()
+    same(got, brute(rows))
+    assert largest and max(largest) < 1000
+
+
+def test_beams_stay_narrow_where_the_graph_is_torn(monkeypatch):
+    x, widths = unit(data(7, 3000, 20, 10)), []
+    ids, graph, search = np.arange(len(x)), Graph(x), Graph.search
+    graph.layers[0].links[:] = -1  # no beam leads anywhere
+    monkeypatch.setattr(Graph, "search", lambda self, q, ef: widths.append(ef) or search(self, q, ef))
+    a, n, _ = embeddings.Shard(graph, x, ids, np.ones(len(x), dtype=np.int64)).links(x[:500], ids[:500], 0.95)
+    want = (x[:500] @ x.T >= 0.95).sum(axis=1) - 1
+    assert {i: k for i, k in zip(a, n, strict=True) if k} == {i: k for i, k in enumerate(want.tolist()) if k}
+    assert max(widths) <= 2 * embeddings.EF
