@@ -262,7 +262,7 @@ def dir_tree(spark, sf_dir):
 
 @query
 def dupes_size(spark, sf_dir):
-    return content.top_groups(content.size_groups(content.duplicate_candidates(sample_entries(spark, sf_dir), 1000)))
+    return content.top_groups(content.size_groups(content.duplicate_candidates(sample_entries(spark, sf_dir), 1000, most=None)))
 
 
 def _with_content(spark, sf_dir):

@@ -40,6 +40,19 @@ def test_query_and_sql_agree(spark, duck, name):
     assert columns == sorted(theirs) and got == want
 
 
+def test_duplicates_by_size_among_many_files(spark, tmp_path):
+    for t in TABLES:
+        os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    (tmp_path / "orders.parquet").unlink()
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT o.* REPLACE (i AS o_orderkey, CASE WHEN i < 200100 THEN 1000000 + i ELSE 2000 + i % 60 END AS o_totalprice)
+      FROM range(201000) r(i), (SELECT * FROM '{SF}/orders.parquet' LIMIT 1) o) TO '{tmp_path}/orders.parquet' (FORMAT parquet)""")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = [tuple(r) for r in entry.queries()["dupes_size"](spark, str(tmp_path)).select("size", "files", "first_path", "waste").collect()]
+    assert got == con.execute(entry.oracle_sql()["dupes_size"]).fetchall() and len(got) == 50
+
+
 def test_every_query_has_sql_or_a_reason():
     without = {"pipeline"}
     assert {n for n in set(entry.queries()) - set(entry.oracle_sql()) if not n.startswith("op")} <= without
