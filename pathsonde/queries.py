@@ -262,12 +262,12 @@ def dir_tree(spark, sf_dir):
 
 @query
 def dupes_size(spark, sf_dir):
-    return content.top_groups(content.size_groups(content.duplicate_candidates(sample_entries(spark, sf_dir), 1000, most=None)))
+    return content.top_groups(content.size_groups(content.duplicate_candidates(sample_entries(spark, sf_dir), 1000)))
 
 
 def _with_content(spark, sf_dir):
     own = sample_entries(spark, sf_dir).filter("source in (0, 1, 4)")
-    return content.duplicate_candidates(own, 200, most=None), sample_contents(spark, sf_dir)
+    return content.duplicate_candidates(own, 200), sample_contents(spark, sf_dir)
 
 
 @query

@@ -14,6 +14,7 @@ from pathsonde.sources.entries import SCHEMA, derive, with_directories
 from pathsonde.sources.table import VersionedTable
 from pathsonde.sources.walk import FileTree
 from pathsonde.streaming import changes as feed
+from pathsonde.tools import Tools
 
 NOW = 1_785_000_000
 
@@ -198,6 +199,17 @@ def test_duplicates(spark):
     assert (report.candidates, report.waste, report.proven) == (5, 27, 18)
 
 
+def test_all_candidates_of_duplicates(spark):
+    many = spark.range(200_010).selectExpr("concat('/f', id) path", "if(id < 10, 5, 1000 + id) size")
+    own = many.selectExpr("0 source", "path", "false is_dir", "size", *(f"0L {n}" for n in ("mtime", "ctime", "atime", "mode", "uid", "gid", "disk", "items")), "1L links")
+    assert content.duplicate_candidates(own, 1).count() == 200_010 and content.duplicate_candidates(own, 1001).count() == 200_000
+    small = [("/f0", "x" * 5), ("/f1", "x" * 5), ("/f2", "y" * 5)]
+    contents = spark.createDataFrame([(0, *x) for x in small], "source int, path string, content string")
+    engine = Engine(derive(own), Context(NOW))
+    assert [(g["size"], g["files"], g["waste"], g["first_path"]) for g in Tools(engine).duplicates(1)] == [(5, 10, 45, "/f0")]
+    assert [(g["size"], g["files"], g["first_path"]) for g in Tools(engine, contents).duplicates(1)] == [(5, 2, "/f0")]
+
+
 def test_charts(spark):
     v = spark.createDataFrame([(0, 1), (1, 1), (2, 1)], "idx int, value long")
     assert [r.share for r in charts.shares(v).orderBy("idx").collect()] == [33.4, 33.3, 33.3]
