@@ -34,6 +34,8 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 #: Characters that stand for letters.
 LEET = str.maketrans("013457@$!", "oieastasi")
 
+#: ASCII characters that are no part of a word; those that count as strong.
+MARKS, STRONG = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~", frozenset("!?*#$%&")
 EDGES = re.compile(r"^\W+|\W+$")
 LETTER = re.compile(r"[^\W\d_]")
 INNER = re.compile(r"[\W\d_]+")
@@ -46,7 +48,8 @@ FEATURES = (
 
 def plain_word(raw: str) -> str:
     """Without marks at its ends, in lower case."""
-    return EDGES.sub("", raw).lower()
+    core = raw.strip(MARKS)
+    return (core if core.isalnum() else EDGES.sub("", core)).lower()
 
 
 def entries_of(word: str) -> list[str]:
@@ -87,22 +90,49 @@ class Features:
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon, self.memo = lexicon, {}
+        self.begins = {e[:-1]: v for e, v in lexicon.items() if e.endswith("-") and len(e) - 1 in BEGINNINGS}
+        self.heads = {e[: BEGINNINGS[0]] for e in self.begins}
 
     def _word(self, raw: str) -> int:
         """What a word adds, packed: 8 bits each of word and beginning odds in sixteenths, four flags, and counts of up to 63."""
+        core = raw.strip(MARKS)
+        word = core.lower()
+        if not (core.isalpha() and word.isalpha()):  # lower case can add a mark
+            return self._mixed_word(raw)
+        found, begins, n, hidden, strong = self.lexicon.get(word, 0.0), self._begins(word), len(core), 0, 0
+        if marks := len(raw) - n:
+            ends = raw.replace(core, "", 1)
+            strong = sum(map(STRONG.__contains__, ends))
+            if not found and ("$" in ends or "!" in ends or "@" in ends) and (found := self.lexicon.get(self._bare(raw), 0.0)):
+                hidden = 1
+        upper = 0 if core.islower() else sum(map(str.isupper, core))
+        return (
+            (min(255, round(16 * found)) if found else 0) | (min(255, round(16 * begins)) << 8 if begins else 0) | (word in SECOND_PERSON) << 16 | hidden << 17 | (n > 2 and upper == n) << 18
+            | min(63, n) << 20 | min(63, upper) << 26 | min(63, marks) << 38 | min(63, strong) << 44 | (n == 1) << 50
+        )
+
+    def _begins(self, word: str) -> float:
+        """The highest odds of a word's beginnings; a word shorter than one is its own beginning, again."""
+        return max(self.begins.get(word[:n], 0.0) for n in BEGINNINGS) if word[: BEGINNINGS[0]] in self.heads else 0.0
+
+    def _bare(self, raw: str) -> str:
+        return INNER.sub("", raw.lower().translate(LEET))
+
+    def _mixed_word(self, raw: str) -> int:
+        """``_word`` of any word, also with digits, marks inside or marks beyond ASCII."""
         word = plain_word(raw)
         found, hidden = self.lexicon.get(word, 0.0), 0
-        begins = max((self.lexicon.get(e, 0.0) for e in entries_of(word)[1:]), default=0.0)
+        begins = self._begins(word)
         letters = LETTER.findall(raw)
         mixed = bool(letters) and bool(INNER.search(word))
         if not found and (mixed or not raw.isalpha()):
-            bare = INNER.sub("", raw.lower().translate(LEET))
+            bare = self._bare(raw)
             if bare != word and (found := self.lexicon.get(bare, 0.0)):
                 hidden = 1
         upper = sum(c.isupper() for c in letters)
         few = lambda n: min(63, n)
         shouted, digits = len(letters) > 2 and upper == len(letters), sum(c.isdigit() for c in raw)
-        marks, strong = sum(not c.isalnum() for c in raw), sum(c in "!?*#$%&" for c in raw)
+        marks, strong = sum(not c.isalnum() for c in raw), sum(c in STRONG for c in raw)
         out = min(255, round(16 * found)) | min(255, round(16 * begins)) << 8 | (word in SECOND_PERSON) << 16 | hidden << 17 | shouted << 18 | mixed << 19
         for at, n in zip(range(20, 56, 6), (len(letters), upper, digits, marks, strong, len(letters) == 1), strict=True):
             out |= few(n) << at
@@ -112,7 +142,7 @@ class Features:
         words, memo = (text or "").split(), self.memo
         if not words:
             return [0.0] * len(FEATURES)
-        new = [w for w in set(words) if w not in memo]
+        new = set(words).difference(memo)
         if len(memo) + len(new) > WORDS:
             memo.clear()
             new = set(words)

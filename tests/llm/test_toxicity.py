@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import random
+import re
+import sys
 import zlib
 
 import numpy as np
 import pytest
 
-from pathsonde.llm.toxicity import FEATURES, Features, Trees, entries_of, isotonic, learn_lexicon, plain_word, score, sigmoid, train
+from pathsonde.llm.toxicity import FEATURES, LEET, SECOND_PERSON, Features, Trees, entries_of, isotonic, learn_lexicon, plain_word, score, sigmoid, train
 
 CLEAN = "river stone cloud table window garden letter paper morning evening market teacher".split()
 BAD = ["fnarg", "blurgh", "zorky"]
@@ -71,6 +73,55 @@ def test_features():
     assert plain_word("«Wörter!»") == "wörter" and entries_of("abcdef") == ["abcdef", "abcd-", "abcde-", "abcdef-"]
 
 
+LEXICON = {"fnarg": 4.0, "das": 2.5, "": 4.0, "faint": 0.001, "huge": 99.0, "äöü": 2.0, "abc-": 9.0, "abcd-": 1.6, "abcdef-": 3.0, "abcdefgh-": 2.0, "abcdefghi-": 9.0}
+
+
+def word_by_definition(raw):
+    word = re.sub(r"^\W+|\W+$", "", raw).lower()
+    letters, mixed = re.findall(r"[^\W\d_]", raw), bool(re.search(r"[\W\d_]", word)) and bool(re.search(r"[^\W\d_]", raw))
+    found, hidden = LEXICON.get(word, 0.0), 0
+    bare = re.sub(r"[\W\d_]", "", raw.lower().translate(LEET))
+    if not found and bare != word and (mixed or not raw.isalpha()):
+        found = LEXICON.get(bare, 0.0)
+        hidden = int(found > 0)
+    upper = sum(c.isupper() for c in letters)
+    fields = [(round(16 * found), 8), (round(16 * max([LEXICON.get(e, 0.0) for e in entries_of(word)[1:]], default=0.0)), 8), (word in SECOND_PERSON, 1), (hidden, 1), (len(letters) == upper > 2, 1), (mixed, 1)]
+    fields += [(k, 6) for k in (len(letters), upper, sum(c.isdigit() for c in raw), sum(not c.isalnum() for c in raw), sum(c in "!?*#$%&" for c in raw), len(letters) == 1)]
+    out, at = 0, 0
+    for value, bits in fields:
+        out, at = out | min(2**bits - 1, int(value)) << at, at + bits
+    return out
+
+
+def test_words_by_definition():
+    rng, make = random.Random(5), Features(LEXICON)
+    pool = list("abcdefgABCDs013457@$!?*#%&_-.,'\"()[]\\\\İıßΣσςäÖñ²½Ⅷ٣中ǅ’«»…𝐀ª\u0301\u200d")
+    words = ["".join(rng.choices(pool, k=rng.randint(1, 9))) for _ in range(15_000)]
+    known = [*(e.strip("-") for e in LEXICON if e), *SECOND_PERSON, "abcdefghij", "FNARG", "Das", "d4s", "FNARĠ", "a" * 70, "A" * 70]
+    words += [a + w + b for w in known for a in ["", "(", "@", "$", "¿", "_"] for b in ["", "!", "$$$", "@,", ".", "?!", "'s", "»", "!" * 70]]
+    wrong = [w for w in words if make._word(w) != word_by_definition(w)]
+    assert not wrong, wrong[:20]
+
+
+def test_new_words_take_few_calls():
+    """Most words of a large corpus are seen once, so what a new word costs is what a text costs."""
+    rng, make, calls = random.Random(6), Features({"fnarg": 4.0, "blur-": 2.0}), 0
+    words = ["".join(rng.choices("abcdefghijklmno", k=rng.randint(5, 12))) + rng.choice(["", "", ",", "$$$"]) for _ in range(2000)]
+    words += [w.title() for w in words]
+    text = " ".join(words)
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        make(text)
+    finally:
+        sys.setprofile(None)
+    assert calls < 40 * len(words)
+
+
 def test_trees_and_isotonic():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 4))
