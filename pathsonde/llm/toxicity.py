@@ -11,7 +11,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ TRAIN_ROWS, LEXICON, BEGINNINGS = 12_000, 3_000, range(4, 9)
 #: Toxic rows that hold an entry, at least, and its least log odds.
 MIN_ROWS, MIN_ODDS = 3, 1.5
 TREES, DEPTH, RATE, BINS, SHRINK = 120, 3, 0.1, 48, 5.0
-#: Words that are remembered by a worker.
-WORDS = 300_000
+#: Words that are remembered by a worker; characters of texts that are counted together, about; words that are told apart at once.
+WORDS, GROUP, PIECE = 300_000, 1 << 21, 1 << 19
 
 #: Words of the second person in English, German, French and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner euch euer ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro su".split())
@@ -36,6 +37,13 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 
 #: ASCII characters that are no part of a word; those that count as strong.
 MARKS, STRONG = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~", frozenset("!?*#$%&")
+#: Single marks that are not strong and stand for no letter.
+PLAIN = frozenset(MARKS) - STRONG - {"@"}
+#: By byte of UTF-8: a to z; these marks; what follows LEAD in one of the letters from ß to ÿ.
+LOWER, TAIL, NEXT = (np.isin(np.arange(256), list(x)) for x in (b"abcdefghijklmnopqrstuvwxyz", "".join(PLAIN).encode(), {*range(0x9F, 0xC0)} - {0xB7}))
+LEAD = 0xC3
+#: Masks of the first bytes of eight; bits of a hash.
+FIRST, HASH_BITS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64), 20
 EDGES = re.compile(r"^\W+|\W+$")
 LETTER = re.compile(r"[^\W\d_]")
 INNER = re.compile(r"[\W\d_]+")
@@ -85,35 +93,86 @@ def learn_lexicon(df: DataFrame, size: int = LEXICON) -> dict[str, float]:
     return {r.entry: r.odds for r in best.select("entry", "odds").collect()}
 
 
+class Words(dict):
+    """Remembers what ``make`` gives for at most WORDS words, in two generations: words in use outlive the others."""
+
+    def __init__(self, make: Callable[[str], int]) -> None:
+        self.make, self.old = make, {}
+
+    def __missing__(self, raw: str) -> int:
+        got = self.old.get(raw)
+        if got is None:
+            got = self.make(raw)
+        if len(self) >= WORDS // 2:
+            self.old = dict(self)
+            self.clear()
+        self[raw] = got
+        return got
+
+
+def _heads(words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of non-empty words with eight zeros behind them, where each word starts, and its first eight bytes as a number (with what stands behind it)."""
+    starts = np.frombuffer(words.buffers()[1], dtype=np.int64)[: len(words) + 1]
+    data = np.append(np.frombuffer(words.buffers()[2], dtype=np.uint8)[: starts[-1]], np.zeros(8, dtype=np.uint8))
+    return data, starts, np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[starts[:-1]]).view(np.uint64)[:, 0]
+
+
+def _hash(head: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+    return ((head ^ np.asarray(salt, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)
+
+
 class Features:
     """Dense features of texts by a lexicon."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
-        self.lexicon, self.memo = lexicon, {}
-        self.begins = {e[:-1]: v for e, v in lexicon.items() if e.endswith("-") and len(e) - 1 in BEGINNINGS}
-        self.heads = {e[: BEGINNINGS[0]] for e in self.begins}
+        self.lexicon, self.memo = lexicon, Words(self._word)
+        self.known = {w: min(255, round(16 * lexicon.get(w, 0.0))) | (w in SECOND_PERSON) << 16 for w in {*lexicon, *SECOND_PERSON}}
+        self.begins: dict[str, list[tuple[str, float]]] = {}
+        for e, v in sorted(lexicon.items(), key=lambda x: -x[1]):
+            if e.endswith("-") and len(e) - 1 in BEGINNINGS:
+                self.begins.setdefault(e[: BEGINNINGS[0]], []).append((e[:-1], v))
+        # hashes of what known words and beginnings have in their first eight bytes; a word may share one by chance
+        self.may_hit = np.zeros(1 << HASH_BITS, dtype=bool)
+        for words, salted in ([w for w in self.known if w], False), ([b for bs in self.begins.values() for b, _ in bs], True):
+            _, starts, head = _heads(pa.array(words, pa.large_string()))
+            size = np.minimum(8, np.diff(starts))
+            self.may_hit[_hash(head & FIRST[size], size if salted else 0)] = True
 
     def _word(self, raw: str) -> int:
         """What a word adds, packed: 8 bits each of word and beginning odds in sixteenths, four flags, and counts of up to 63."""
-        core = raw.strip(MARKS)
-        word = core.lower()
-        if not (core.isalpha() and word.isalpha()):  # lower case can add a mark
-            return self._mixed_word(raw)
-        found, begins, n, hidden, strong = self.lexicon.get(word, 0.0), self._begins(word), len(core), 0, 0
+        if plain := raw.islower() and raw.isalpha():
+            core = word = raw
+        else:
+            core = raw.strip(MARKS)
+            word = core.lower()
+            if not (core.isalpha() and word.isalpha()):  # lower case can add a mark
+                return self._mixed_word(raw)
+        n = len(core)
+        out = self.known.get(word, 0) | (n if n < 63 else 63) << 20
+        if word[: BEGINNINGS[0]] in self.begins:
+            out |= min(255, round(16 * self._begins(word))) << 8
+        if n == 1:
+            out |= 1 << 50
+        if plain:
+            return out
         if marks := len(raw) - n:
             ends = raw.replace(core, "", 1)
-            strong = sum(map(STRONG.__contains__, ends))
-            if not found and ("$" in ends or "!" in ends or "@" in ends) and (found := self.lexicon.get(self._bare(raw), 0.0)):
-                hidden = 1
-        upper = 0 if core.islower() else sum(map(str.isupper, core))
-        return (
-            (min(255, round(16 * found)) if found else 0) | (min(255, round(16 * begins)) << 8 if begins else 0) | (word in SECOND_PERSON) << 16 | hidden << 17 | (n > 2 and upper == n) << 18
-            | min(63, n) << 20 | min(63, upper) << 26 | min(63, marks) << 38 | min(63, strong) << 44 | (n == 1) << 50
-        )
+            if ends in PLAIN:
+                out |= 1 << 38
+            else:
+                out |= min(63, marks) << 38 | min(63, sum(map(STRONG.__contains__, ends))) << 44
+                if ("$" in ends or "!" in ends or "@" in ends) and not self.lexicon.get(word) and (found := self.lexicon.get(self._bare(raw))):
+                    out |= 1 << 17 | min(255, round(16 * found))
+        if not core.islower() and (upper := sum(map(str.isupper, core))):
+            out |= min(63, upper) << 26 | (n > 2 and upper == n) << 18
+        return out
 
     def _begins(self, word: str) -> float:
         """The highest odds of a word's beginnings; a word shorter than one is its own beginning, again."""
-        return max(self.begins.get(word[:n], 0.0) for n in BEGINNINGS) if word[: BEGINNINGS[0]] in self.heads else 0.0
+        for begin, odds in self.begins.get(word[: BEGINNINGS[0]], ()):
+            if word.startswith(begin):
+                return odds
+        return 0.0
 
     def _bare(self, raw: str) -> str:
         return INNER.sub("", raw.lower().translate(LEET))
@@ -138,36 +197,85 @@ class Features:
             out |= few(n) << at
         return out
 
+    def _plain(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """``_word`` of each, and whether it holds: for words of small letters up to ÿ, with at most one of PLAIN behind, that surely have no odds and are no second person."""
+        data, starts, head = _heads(words)
+        size, starts, last = np.diff(starts), starts[:-1], starts[1:] - 1
+        small, lead = LOWER[data], data == LEAD
+        pair = lead[:-1] & NEXT[data[1:]]
+        small[:-1] |= pair
+        small[1:] |= pair
+        count = lambda v: np.diff(np.append(0, v.cumsum())[np.append(starts, last[-1] + 1)])
+        tail = TAIL[data[last]].astype(np.int64)
+        size -= tail
+        n = size - count(lead)
+        plain = (count(small) == size) & (n > 0)
+        head &= FIRST[np.minimum(8, size)]
+        plain &= ~self.may_hit[_hash(head, 0)]
+        for k in range(BEGINNINGS[0], 9):
+            plain &= ~self.may_hit[_hash(head & FIRST[k], k)]
+        return np.minimum(63, n) << 20 | tail << 38 | (n == 1).astype(np.int64) << 50, plain
+
+    def _packed(self, words: list[str]) -> np.ndarray:
+        """``_word`` of each; each different word is looked at once."""
+        told = pa.array(words, pa.large_string()).dictionary_encode()
+        codes = told.indices.to_numpy()
+        x, plain = self._plain(told.dictionary)
+        rest = np.flatnonzero(~plain)
+        # codes come in the order of their first places
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))[rest].tolist()
+        x[rest] = np.fromiter(map(self.memo.__getitem__, map(words.__getitem__, first)), dtype=np.int64, count=len(rest))
+        return x[codes]
+
     def __call__(self, text: str | None) -> list[float]:
-        words, memo = (text or "").split(), self.memo
-        if not words:
-            return [0.0] * len(FEATURES)
-        new = set(words).difference(memo)
-        if len(memo) + len(new) > WORDS:
-            memo.clear()
-            new = set(words)
-        memo.update((w, self._word(w)) for w in new)
-        x = np.array(list(map(memo.__getitem__, words)), dtype=np.int64)
-        if len(memo) > WORDS:
-            memo.clear()
-        n, found, begins = len(x), (x & 255) / 16, (x >> 8 & 255) / 16
-        letters, upper, digits, marks, strong, single = ((x >> at & 63).sum() for at in range(20, 56, 6))
-        hit = (found > 0) | (begins > 0)
-        second = (x >> 16 & 1).astype(bool)
-        near = 0
-        if hit.any() and second.any():
+        return self.rows([text])[0].tolist()
+
+    def rows(self, texts: Iterable[str | None]) -> np.ndarray:
+        """A row of FEATURES for each text; texts of GROUP characters are counted together."""
+        out, group, size = [], [], 0
+        for text in texts:
+            group.append((text or "").split())
+            size += len(text or "")
+            if size >= GROUP:
+                out.append(self._group(group))
+                group, size = [], 0
+        return np.concatenate([*out, self._group(group)])
+
+    def _group(self, group: list[list[str]]) -> np.ndarray:
+        out, n = np.zeros((len(group), len(FEATURES))), np.array([len(words) for words in group], dtype=np.int64)
+        full = np.flatnonzero(n)
+        if not len(full):
+            return out
+        n = n[full]
+        starts = n.cumsum() - n
+        total = lambda v: np.add.reduceat(v, starts, dtype=np.int64)
+        words = group[0] if len(group) == 1 else list(chain.from_iterable(group))
+        x = np.concatenate([self._packed(words[k : k + PIECE]) for k in range(0, len(words), PIECE)])
+        found, begins, second = x & 255, x >> 8 & 255, x >> 16 & 1
+        letters, upper, digits, marks, strong, single = (total(x >> at & 63) for at in range(20, 56, 6))
+        hits = np.flatnonzero(x & 65535)
+        rows = np.searchsorted(starts, hits, side="right") - 1
+        near, kinds = np.zeros(len(full)), np.zeros(len(full))
+        if len(hits):
+            # places of different texts are further apart than those that count as near
             places = np.flatnonzero(second)
-            at = np.flatnonzero(hit)
-            k = np.searchsorted(places, at)
-            gap = np.minimum(np.abs(at - places[np.minimum(k, len(places) - 1)]), np.abs(at - places[np.maximum(k - 1, 0)]))
-            near = int((gap <= 4).sum())
-        kinds = len(set(x[hit].tolist()))
-        letters_1 = max(1, letters)
-        return [
-            (found > 0).sum() / n, found.sum() / n, found.max(), (begins > 0).sum() / n, begins.sum() / n, math.log1p(hit.sum()), math.log1p(kinds),
-            (x >> 17 & 1).sum() / n, second.sum() / n, near / n, upper / letters_1, (x >> 18 & 1).sum() / n, marks / (letters_1 + marks), strong / (letters_1 + marks),
-            digits / (letters_1 + digits), (x >> 19 & 1).sum() / n, single / n, math.log1p(n), letters / n,
-        ]
+            if len(places):
+                places, at = places + 5 * (np.searchsorted(starts, places, side="right") - 1), hits + 5 * rows
+                k = np.searchsorted(places, at)
+                gap = np.minimum(np.abs(at - places[np.minimum(k, len(places) - 1)]), np.abs(at - places[np.maximum(k - 1, 0)]))
+                near = np.bincount(rows[gap <= 4], minlength=len(full))
+            order = np.lexsort((x[hits], rows))
+            r, v = rows[order], x[hits][order]
+            kinds = np.bincount(r[np.append(True, (r[1:] != r[:-1]) | (v[1:] != v[:-1]))], minlength=len(full))
+        log1p = lambda v: list(map(math.log1p, v.tolist()))
+        letters_1 = np.maximum(1, letters)
+        out[full] = np.array([
+            total(found > 0) / n, total(found) / 16 / n, np.maximum.reduceat(found, starts) / 16, total(begins > 0) / n, total(begins) / 16 / n,
+            log1p(np.bincount(rows, minlength=len(full))), log1p(kinds), total(x >> 17 & 1) / n, total(second) / n, near / n, upper / letters_1,
+            total(x >> 18 & 1) / n, marks / (letters_1 + marks), strong / (letters_1 + marks), digits / (letters_1 + digits), total(x >> 19 & 1) / n,
+            single / n, log1p(n), letters / n,
+        ]).T
+        return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -257,8 +365,8 @@ def _features(df: DataFrame, text: str, lexicon: dict[str, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(lexicon)
         for b in batches:
-            x = [make(v.as_py()) for v in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(x, pa.list_(pa.float64()))], [*kept, "x"])
+            x = make.rows(v.as_py() for v in b.column(at))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(x.tolist(), pa.list_(pa.float64()))], [*kept, "x"])
 
     return df.mapInArrow(run, df.select(*kept).schema.add("x", T.ArrayType(T.DoubleType())))
 
@@ -306,7 +414,7 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(model.lexicon)
         for b in slices(batches, 1024):
-            x = np.array([make(v.as_py()) for v in b.column(at)]).reshape(-1, len(FEATURES))
+            x = make.rows(v.as_py() for v in b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.probabilities(x), pa.float64())], [*b.schema.names, out])
 
     return rows.mapInArrow(run, schema)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 import sys
@@ -122,6 +123,52 @@ def test_new_words_take_few_calls():
     assert calls < 40 * len(words)
 
 
+def test_plain_words_take_hardly_any_calls():
+    """Small letters with a full stop behind at most make up most new words; without odds these are counted without a call for each."""
+    rng, make, calls = random.Random(8), Features({"fnarg": 4.0, "blur-": 2.0}), 0
+    words = ["".join(rng.choices("abcdefghijklmnoäéß", k=rng.randint(5, 12))) + rng.choice(["", "", ",", "."]) for _ in range(5000)]
+    text = " ".join(words)
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        make(text)
+    finally:
+        sys.setprofile(None)
+    assert calls < 2 * len(words)
+
+
+def by_definition(text):
+    """FEATURES of a text of at least one word, word by word."""
+    x, n = [word_by_definition(w) for w in text.split()], len(text.split())
+    found, begins, second, hit = [v & 255 for v in x], [v >> 8 & 255 for v in x], [i for i, v in enumerate(x) if v >> 16 & 1], [i for i, v in enumerate(x) if v & 65535]
+    letters, upper, digits, marks, strong, single = (sum(v >> at & 63 for v in x) for at in range(20, 56, 6))
+    near, some = sum(any(abs(i - k) <= 4 for k in second) for i in hit), max(1, letters)
+    return [
+        sum(v > 0 for v in found) / n, sum(found) / 16 / n, max(found) / 16, sum(v > 0 for v in begins) / n, sum(begins) / 16 / n, math.log1p(len(hit)), math.log1p(len({x[i] for i in hit})),
+        sum(v >> 17 & 1 for v in x) / n, len(second) / n, near / n, upper / some, sum(v >> 18 & 1 for v in x) / n, marks / (some + marks), strong / (some + marks),
+        digits / (some + digits), sum(v >> 19 & 1 for v in x) / n, single / n, math.log1p(n), letters / n,
+    ]
+
+
+@pytest.mark.parametrize(("words", "group", "piece"), [(300_000, 1 << 21, 1 << 19), (3, 1, 1), (200, 500, 50)])
+def test_texts_by_definition(monkeypatch, words, group, piece):
+    """However texts are grouped and words remembered, and however plain, seldom or close to a word of the lexicon these are."""
+    monkeypatch.setattr("pathsonde.llm.toxicity.WORDS", words)
+    monkeypatch.setattr("pathsonde.llm.toxicity.GROUP", group)
+    monkeypatch.setattr("pathsonde.llm.toxicity.PIECE", piece)
+    rng = random.Random(7)
+    pool = [*LEXICON, "abcd", "abc", "abcde", "abcdefghijk", "fnar", "fnargs", "hugeness", "äöüx", "à", "ÿ÷", "ß", "x" * 80, "ſ", "ÀÉ", "ğ", "Ÿ", "中", "\x00a", "2024", "f-n4rg", *SECOND_PERSON]
+    word = lambda: rng.choice(["", "", "", "(", "$"]) + (rng.choice(pool) if rng.random() < 0.5 else "".join(rng.choices("abcdeßéÿ", k=rng.randint(1, 9)))) + rng.choice(["", "", ".", ",", "..", "!", "@", "-", "_"])
+    texts = [None, "", " \n\x1c", *(rng.choice([" ", "\n", "\u00a0"]).join(word() for _ in range(rng.choice([1, 3, 9, 80]))) for _ in range(400)), "", None]
+    wrong = [t for t, x in zip(texts, Features(LEXICON).rows(texts).tolist(), strict=True) if x != (by_definition(t) if (t or "").split() else [0.0] * len(FEATURES))]
+    assert not wrong, wrong[:5]
+    assert Features({}).rows(["a fnarg", None]).shape == (2, len(FEATURES)) and Features({}).rows([]).shape == (0, len(FEATURES))
+
+
 def test_trees_and_isotonic():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 4))
