@@ -15,6 +15,8 @@ from pathsonde.llm import linededup, neardedup, packing, pii, toxicity
 from pathsonde.llm.common import cut, documents, free_name, release
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+#: Words that a packing worker remembers in each of two generations: beside a heap that the stages before have filled, there is less room than for packing alone.
+REMEMBERED = 75_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its final id alone. Rows are packed one by one, whatever their ids, so copies and ties are
     packed as often as they occur. An empty table gives no rows.
     """
-    out = packing.pack_documents(docs, WORD_BPE)
+    out = packing.pack_documents(docs, WORD_BPE, remembered=REMEMBERED)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
 
 

@@ -9,6 +9,7 @@ size and nearly equal attention cost.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import json
 import os
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pathsonde.llm.memo import WordMemo
+from pathsonde.llm.memo import ENTRIES, WordMemo
 
 #: Windows of the tiers, each a power of two.
 TIERS = (512, 1024, 2048)
@@ -46,7 +47,7 @@ _U4 = struct.Struct("<I").pack
 class WordTokenizer:
     """A tokenizer of the ``tokenizers`` library whose tokens never span white space, with a memo by word."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = ENTRIES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,9 +60,10 @@ class WordTokenizer:
         if self.splits:
             self.pieces = regex.compile(how["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-        self.shown = {b: chr(256 + n) for n, b in enumerate(odd)}
+        named = {b: chr(256 + n) for n, b in enumerate(odd)}
+        self.shown = "".join(named.get(b, chr(b)) for b in range(256))
         self.plain, self.marks = PLAIN.fullmatch, functools.lru_cache(maxsize=20_000)(self._piece)
-        self.model, self.memo = self.inner.model, WordMemo(self._words)
+        self.model, self.memo = self.inner.model, WordMemo(self._words, remembered)
         self.mark = self._ids([MARK])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -69,7 +71,7 @@ class WordTokenizer:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a match of the pattern, which the model gets with its bytes as characters."""
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        shown = piece if piece.isascii() else codecs.charmap_decode(piece.encode(), "strict", self.shown)[0]
         return b"".join([_U4(t.id) for t in self.model.tokenize(shown)])
 
     def _word(self, word: str) -> bytes:
@@ -79,7 +81,7 @@ class WordTokenizer:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Words that are not plain are encoded as one text, with a mark between them."""
-        plain = [self.plain(w) is not None for w in words]
+        plain = [(w.isascii() and w.isalpha()) or self.plain(w) is not None for w in words]
         rest = [w for w, s in zip(words, plain, strict=True) if not s]
         if len(self.mark) != 4 or any(MARK in w for w in rest):
             return self._ids(words)
@@ -98,8 +100,8 @@ class WordTokenizer:
 
 
 @functools.lru_cache(maxsize=4)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer(path: str, remembered: int = ENTRIES) -> WordTokenizer:
+    return WordTokenizer(path, remembered)
 
 
 class Packer:
@@ -169,7 +171,7 @@ def step_groups(windows: list[tuple[int, list[tuple[int, int, int]]]], step_toke
     return out
 
 
-def pack_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", eos: int = 1, tiers: tuple[int, ...] = TIERS) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", eos: int = 1, tiers: tuple[int, ...] = TIERS, remembered: int = ENTRIES) -> DataFrame:
     """Pack the tokens of all rows of ``df`` into windows; one row per piece.
 
     Returns ``key``, ``start`` (ids of the document before the piece), ``length``, ``ids``
@@ -180,14 +182,15 @@ def pack_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "t
     the last sequence of a task falls short of its window. A null or empty text is ``eos`` alone.
     Repeated rows are packed as often as they occur; null keys stay null; other columns are not
     read. Each task packs its own rows, in blocks, so nothing is shuffled; rows read again in the
-    same order, as those of a file are, give the same sequences.
+    same order, as those of a file are, give the same sequences. A worker remembers the ids of twice
+    ``remembered`` words at most, about 150 bytes each; that changes its time, but no result.
     """
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), *(T.StructField(n, T.BinaryType() if n == "ids" else T.LongType()) for n in ("start", "length", "ids", "doc_tokens", "sequence_id", "offset", "window", "step_group"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
-        tok, end = tokenizer(path), np.array([eos], dtype="<u4").tobytes()
+        tok, end = tokenizer(path, remembered), np.array([eos], dtype="<u4").tobytes()
         packer, docs = Packer(tiers), {}
         sequence = group = name = tokens = 0
         full: list = []
@@ -196,25 +199,30 @@ def pack_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "t
             nonlocal sequence, group, full, docs
             full += packer.windows(last)
             cols: list[list] = [[] for _ in schema]
+            parts: list[memoryview] = []
             groups = step_groups(full)
             for (window, pieces), g in zip(full, groups, strict=True):
                 at = 0
                 for length, doc, start in pieces:
                     k, ids, total = docs[doc]
-                    for c, v in zip(cols, (k, start, length, ids[4 * start : 4 * (start + length)], total, base + sequence, at, window, base + group + g), strict=True):
+                    for c, v in zip(cols, (k, start, length, 4 * length, total, base + sequence, at, window, base + group + g), strict=True):
                         c.append(v)
+                    parts.append(memoryview(ids)[4 * start : 4 * (start + length)])
                     at += length
                 sequence += 1
             group += max(groups, default=-1) + 1
             full = []
             left = {x[1] for p in packer.pools for x in p}
             docs = {k: v for k, v in docs.items() if k in left}
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+            ends = pa.array(np.cumsum([0, *cols[3]], dtype=np.int64)).cast(pa.int32())  # fails beyond an int
+            columns = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+            columns[3] = pa.BinaryArray.from_buffers(pa.binary(), len(parts), [None, ends.buffers()[1], pa.py_buffer(b"".join(parts))])
+            return pa.RecordBatch.from_arrays(columns, names)
 
         types, names = None, [f.name for f in schema]
         for b in batches:
             keys, texts = b.column(0), b.column(1)
-            types = types or [keys.type, *(pa.binary() if n == "ids" else pa.int64() for n in names[1:])]
+            types = types or [keys.type, *[pa.int64()] * (len(names) - 1)]
             for k in range(0, b.num_rows, 64):
                 part = [x or "" for x in texts.slice(k, 64).to_pylist()]
                 for own, ids in zip(keys.slice(k, 64).to_pylist(), tok.encode(part), strict=True):
@@ -225,6 +233,7 @@ def pack_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "t
                 if tokens >= BLOCK_TOKENS:
                     yield flush(False)
                     tokens = 0
+            del b, keys, texts  # while the next batch is read
         if types:
             yield flush(True)
 

@@ -73,3 +73,17 @@ def test_frame(spark):
         ids = b"".join(bytes(r.ids) for r in sorted((r for r in out if r.doc_id == doc), key=lambda r: r.start))
         assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
     assert pack_documents(df.limit(0), PATH).count() == 0
+
+
+def test_few_words_remembered():
+    words, plain = [f"w{a}{b}é" for a in "abcdefghij" for b in "klmnopqrstuvwxyz"], Tokenizer.from_file(PATH)
+    small = tokenizer(PATH, 20)
+    for k in range(0, len(words), 5):
+        text = " ".join([*words[k : k + 5], *words[:5]])
+        assert np.frombuffer(small.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(small.memo.young) <= 20 and len(small.memo.old) <= 20
+
+
+def test_same_pieces_with_few_words_remembered(spark):
+    df = spark.createDataFrame([(k, f"one{k} two{k}, " * (k % 7 * 300)) for k in range(60)], "doc_id long, text string").coalesce(1)
+    assert pack_documents(df, PATH, remembered=30).collect() == pack_documents(df, PATH).collect()

@@ -5,6 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipe
+from pathsonde.llm.memo import ENTRIES
 from tests.llm.test_linededup import plain as plain_lines
 from tests.llm.test_neardedup import brute as plain_groups
 from tests.llm.test_pii import plain as plain_spans
@@ -85,3 +86,10 @@ def test_odd_rows_pass_through_every_stage(spark, tmp_path):
 
 def test_run(spark):
     assert pipe.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_packing_workers_remember_less_than_25_mb(spark, monkeypatch):
+    asked, pack = [], pipe.packing.pack_documents
+    monkeypatch.setattr(pipe.packing, "pack_documents", lambda *args, **how: asked.append(how.get("remembered", ENTRIES)) or pack(*args, **how))
+    pipe.pack(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF)
+    assert len(asked) == 1 and 2 * 150 * asked[0] < 25e6
